@@ -37,6 +37,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pii import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op8_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.wavelet import read_shards, write_shards
 
