@@ -61,15 +61,34 @@ def op8_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.warc import read_archives, write_archives
+
+    return read_archives(write_archives(table(spark, sf_dir, "pages")))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.decontamination import find_leaks
 
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+_WARC_SQL = """
+with own as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
+), firsts as (
+  select payload_digest, min(page_id) as first_id from own where payload_bytes >= 100 group by payload_digest
+)
+select own.page_id, own.payload_bytes, own.payload_digest,
+  case when first_id is not null and first_id <> own.page_id then 'revisit' else 'response' end as record_type,
+  case when first_id <> own.page_id then first_id end as refers_to
+from own left join firsts using (payload_digest)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if re.match(r"op\d+_", name) and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": _WARC_SQL}
