@@ -1,17 +1,14 @@
-"""Registry of the engine's named queries and their SQL."""
+"""All named queries of the engine."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from tidemark.plans import geometry_queries, join_queries, log_queries, matching_queries, stream_queries, visit_queries  # noqa: F401
+from tidemark.plans.registry import ORACLES, QUERIES, Query
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
