@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tidemark.sources import schemas as S
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType, drop_short: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str, drop_short: bool = False) -> DataFrame:
     """A CSV with a header, by column name; columns that the file lacks are null, empty text stays empty.
 
     ``drop_short`` leaves out rows with fewer fields than the header.
@@ -22,7 +21,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     """The event log with ``seq``, the rows' order: by file and place within it."""
     raw = spark.read.option("header", True).option("emptyValue", "").option("nullValue", "\u0000").csv(path)
     placed = raw.withColumn("seq", F.monotonically_increasing_id())
-    out = S.with_defaults(placed, StructType.fromDDL(S.EVENT_LOG.toDDL() + ", seq bigint"), details="")
+    out = S.with_defaults(placed, S.EVENT_LOG + ", seq bigint", details="")
     return out
 
 
@@ -49,7 +48,7 @@ def read_actions(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, S.ACTIONS).withColumn("steps", F.from_json("actions", S.ACTION_STEPS))
 
 
-def _document(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
