@@ -8,6 +8,13 @@ from tidemark.streaming import online as N
 SCHEMA = "camera string, t double, raw_id long, x double, y double, h double, look array<double>"
 
 
+def finish(writer):
+    q = writer.trigger(availableNow=True).start()
+    if not q.awaitTermination(60):
+        q.stop()
+        raise TimeoutError
+
+
 def detections():
     rng, rows = np.random.default_rng(11), []
     for cam in ("a", "b"):
@@ -37,9 +44,8 @@ def test_stream_and_batch_agree(spark, tmp_path):
     for k in range(0, len(rows), 60):  # files in time order, one a trigger
         spark.createDataFrame(rows[k : k + 60], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = E.read_files(spark, str(tmp_path / "in"), whole.schema, files_per_trigger=1)
-    q = N.stitch_stream(stream, idle_ms=1).writeStream.format("memory").queryName("stitched").option("checkpointLocation", str(tmp_path / "state")).start()
-    q.processAllAvailable()
-    q.stop()
+    out = N.stitch_stream(stream, idle_ms=None).writeStream.format("memory").queryName("stitched")
+    finish(out.option("checkpointLocation", str(tmp_path / "state")))
     key = ["camera", "kind", "t", "raw_id", "visitor"]
     got = spark.table("stitched").select(*key)
     want = N.stitch_batch(whole).select(*key)
@@ -52,9 +58,7 @@ def test_throttle_in_stream_and_table(spark, tmp_path):
     want = {("a", 0.0), ("a", 4.0), ("a", 8.0), ("b", 3.0)}
     assert {tuple(r) for r in E.throttle(df, "key", "t", 4.0).collect()} == want
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = E.throttle(E.read_files(spark, str(tmp_path / "in"), df.schema), "key", "t", 4.0).writeStream.format("memory").queryName("thin").start()
-    q.processAllAvailable()
-    q.stop()
+    finish(E.throttle(E.read_files(spark, str(tmp_path / "in"), df.schema), "key", "t", 4.0).writeStream.format("memory").queryName("thin"))
     assert {tuple(r) for r in spark.table("thin").collect()} == want
 
 

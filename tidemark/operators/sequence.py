@@ -36,9 +36,8 @@ def runs(df: DataFrame, keys: Cols, t: str, order: Cols, max_gap, *aggs: Column)
 def weights(df: DataFrame, keys: Cols, t: str, order: Cols, max_gap, out: str = "w") -> DataFrame:
     """Add what each sample stands for: half of either neighbour's gap, each gap capped; 0 for one alone."""
     w = _w(keys, order)
-    before = F.least(F.col(t) - F.lag(t).over(w), F.lit(max_gap))
-    after = F.least(F.lead(t).over(w) - F.col(t), F.lit(max_gap))
-    return df.withColumn(out, (F.coalesce(before, F.lit(0)) + F.coalesce(after, F.lit(0))) / 2)
+    half = lambda gap: F.when(gap > max_gap, F.lit(max_gap)).otherwise(F.coalesce(gap, F.lit(0)))
+    return df.withColumn(out, (half(F.col(t) - F.lag(t).over(w)) + half(F.lead(t).over(w) - F.col(t))) / 2)
 
 
 def segments(df: DataFrame, keys: Cols, t: str, order: Cols, flag: Column, max_gap, weight: str = "w", *aggs: Column) -> DataFrame:

@@ -19,7 +19,7 @@ _MARKED = f"""{V.TRAIL}, stepped as (
   select *, t - lag(t) over (partition by vid order by t, event_id) as step, lead(t) over (partition by vid order by t, event_id) - t as ahead from trail
 ), marked as (
   select *, cast(sum(case when step > {GAP} then 1 else 0 end) over (partition by vid order by t, event_id) as bigint) as run,
-    (coalesce(least(step, {GAP}), 0) + coalesce(least(ahead, {GAP}), 0)) / 2 as w from stepped
+    (case when step > {GAP} then {GAP} else coalesce(step, 0) end + case when ahead > {GAP} then {GAP} else coalesce(ahead, 0) end) / 2 as w from stepped
 )"""
 _VISITS = f"""{_MARKED}, all_visits as (
   select vid, min(t) as t_in, max(t) as t_out, sum(w) as tracked, count(*) as n, max(run) + 1 as runs, max(t) - min(t) as dwell from marked group by vid
