@@ -43,7 +43,7 @@ class _Words(dict):
     """Word -> 32-bit hash (never 0) of its lower-cased form; bounded."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         raw = word.encode().lower()
         self[word] = h = xxhash.xxh32_intdigest(raw, 17) or 1
@@ -288,8 +288,9 @@ def repeated_passages(documents: DataFrame, least: int = LEAST, gram: int = GRAM
     rows = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     kept = written(rows.mapInArrow(keep, "doc_id long, tie long, place int, h long"), "anchors")
     often = written(kept.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
-    shared = written(kept.join(often, "h", "left_semi").select("doc_id", "tie", "place", "h").distinct(), "shared")
-    by_doc = shared.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("place", "h")).alias("at")).select("doc_id", "tie", "at.place", "at.h")
+    # nothing stands above the join but the write, so Spark can split a hash that very many share
+    shared = written(kept.join(often, "h", "left_semi").select("doc_id", "tie", "place", "h"), "shared")
+    by_doc = shared.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("place", "h")).alias("at")).select("doc_id", "tie", "at.place", "at.h")
     texts = rows.join(by_doc, ["doc_id", "tie"])
     suffixes = written(
         texts.select("doc_id", "tie", "text", "place", "h").mapInArrow(contexts, "h long, right binary, left binary, doc_id long, tie long, places array<int>"), "suffixes"
