@@ -8,7 +8,7 @@ labeler is; its posteriors train a logistic span classifier over the same votes,
 back into the plan as an expression. Only the pattern counts ever leave the executors.
 
 The patterns are written so that Java's matcher neither recurses nor scans a long run twice: they
-match what the plain patterns match.
+match what the plain patterns match, but for runs of digits too short to be kept.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ _LOCAL = r"[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){8,}+",  # whole runs of digits, of nine or more
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{16,}+",
     "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame)\.? [A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]++(?: [A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]++)?+",
@@ -42,25 +42,41 @@ FOR_WORDS = {
 AGAINST_WORDS = {"secret": "sha sha1 sha256 md5 commit checksum digest etag", "account": "isbn order version page year phone tel", "name": "the"}
 
 
+_SPANS = "array<struct<start:int,end:int,word:string>>"
+_RUN = 128
+
+
 def _spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, word>> of a pattern's matches, in code points."""
+    """array<struct<start, end, word>> of a pattern's matches, in code points.
+
+    Places are running sums over matches and the gaps before them. They are built in runs of _RUN
+    matches, which are then moved to their place, so the work grows in proportion to the matches.
+    """
     words = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,word:string>>)")
-    first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    pairs = F.arrays_zip(words.alias("word"), F.slice(gaps, 1, F.size(words)).alias("gap"))
+    none = F.expr(f"cast(array() as {_SPANS})")
 
     def step(acc: Column, x: Column) -> Column:
         start = (acc["at"] + F.length(x["gap"])).cast("int")
         end = (start + F.length(x["word"])).cast("int")
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["word"].alias("word")))).alias("out"))
 
-    pairs = F.arrays_zip(words.alias("word"), F.slice(gaps, 1, F.greatest(F.size(words), F.lit(0))).alias("gap"))
-    return F.aggregate(pairs, first, step)["out"]
+    def run(k: Column) -> Column:
+        return F.aggregate(F.slice(pairs, k, F.lit(_RUN)), F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def move(acc: Column, r: Column) -> Column:
+        moved = F.transform(r["out"], lambda s: F.struct(
+            (s["start"] + acc["at"]).cast("int").alias("start"), (s["end"] + acc["at"]).cast("int").alias("end"), s["word"].alias("word")))
+        return F.struct((acc["at"] + r["at"]).cast("int").alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    runs = F.transform(F.sequence(F.lit(1), F.size(words), F.lit(_RUN)), run)
+    placed = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{_SPANS}>)").alias("out")), move)
+    return F.when(F.size(words) > 0, F.flatten(placed["out"])).otherwise(none)
 
 
 def _guarded(text: Column, when: Column, pattern: str) -> Column:
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,word:string>>)")
-    return F.when(when, _spans(text, pattern)).otherwise(empty)
+    return F.when(when, _spans(text, pattern)).otherwise(F.expr(f"cast(array() as {_SPANS})"))
 
 
 def _digits(word: Column) -> Column:
