@@ -64,7 +64,7 @@ class Templates:
         lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
         coded = lists.values.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self._read) > 1_000_000:
+        if len(self._read) > 200_000:
             self._read.clear()
         read = self._read
         for w in words:
@@ -214,7 +214,8 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """(doc_id, item_id, coverage, slots, changed) for each leaked item of each row of ``documents``.
 
     coverage is the share of the item's words that is found, changed the number of slots whose
-    values differ from the item's. Null texts, and items of fewer than four words, leak nothing.
+    values differ from the item's. Case is ignored, but names are known by theirs: a copy all in
+    capitals is found by the windows that hold no name. Null texts, and items of fewer than four words, leak nothing.
     Items of one id are checked text by text. Repeated rows are found each. Other columns are
     ignored, whatever their names. Empty tables give an empty result.
     """

@@ -71,7 +71,7 @@ class _Pieces(dict):
 class Encoder:
     """Encodes batches of texts with one tokenizer file; special tokens' strings are ordinary text."""
 
-    def __init__(self, path: str, pieces: int = 1_000_000) -> None:
+    def __init__(self, path: str, pieces: int = 600_000) -> None:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._most = pieces
