@@ -267,6 +267,20 @@ def test_base_spans_are_the_plain_patterns(spark):
         assert set(said.split(",")) - {""} <= set(got[k].spans.split(","))
 
 
+ZEROS = ["10.0.0.1 127.0.0.1, 192.168.0.12", "0.0.0.0", "000.00.0.0 00.0256.0.1 10.0.0.256", "a0.0.0.0b 1.2.3.0.", "0" * 4_000 + ".1.2.3", "0" * 4_000 + ".0.0.300", "255.255.255.0 0.250.249.100"]
+
+
+def test_addresses_with_zero_parts_are_found(spark):
+    docs = spark.createDataFrame(list(enumerate(ZEROS)), TEXT)
+    got = {r.doc_id: r for r in pii.report(docs).collect()}
+    for k, text in enumerate(ZEROS):
+        want = plain_base(text)
+        said = ",".join(f"{pii.KINDS[kind]}:{a}:{b}" for a, kind, b in want)
+        assert got[k].n_ip == sum(x[1] == 1 for x in want)
+        assert got[k].base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    assert pii.redact(docs.where("doc_id = 0")).first().text == "[IP] [IP], [IP]"
+
+
 def test_weak_labels_find_secrets_and_leave_hashes(spark):
     key = lambda k: hashlib.sha1(str(k).encode()).hexdigest()
     docs = [(k, f'{words(k, 9)} token = "{key(k)}" {words(k, 5)}') for k in range(60)] + [(100 + k, f"see commit abc{k}defabcdefgh{k}xyz and order 123456789{k % 10}") for k in range(60)]

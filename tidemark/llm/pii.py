@@ -31,7 +31,7 @@ PATTERNS = {
     "secret": r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{16,}+",
     "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame)\.? [A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]++(?: [A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]++)?+",
 }
-_OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?|(?<=0))"  # no digit but zeros is a zero
 _IP_OK = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 # Words that speak for or against a candidate when they come before it.
 FOR_WORDS = {
