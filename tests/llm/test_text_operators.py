@@ -322,3 +322,16 @@ def test_em_tells_reliable_votes():
     w = pii.estimate(rows)
     score = lambda v: w[0] + sum(a * b for a, b in zip(w[1:5], v)) + w[5 + 4]
     assert score((1, 1, 1, 1)) > 0 > score((-1, 0, -1, -1)) and pii.estimate([])[0] == 0
+
+
+DENSE = ["What is 12 + 7 * 3 - 18 / 6 + 45 - 9?", "Convert 3 hours 25 minutes 40 seconds to seconds.", "Alice Smith met Bob Jones in New York on 5 May 2010.", "5 kg 30 m"]
+
+
+def test_items_dense_in_numbers_and_names_leak_when_copied(spark):
+    bench = spark.createDataFrame(list(enumerate(DENSE)), "item_id long, text string")
+    docs = [(k, f"{words(k, 30)}. {t} {words(90 + k, 30)}") for k, t in enumerate(DENSE)]
+    docs += [(10, f"{words(10, 30)}. Convert 4 hours 15 minutes 20 seconds to seconds."), (11, "6 kg 30 m"), (12, "It is 12 + 7 * 3 - 18, and 5 May 2010 in New York.")]
+    df = spark.createDataFrame(docs, TEXT)
+    got = {(r.doc_id, r.item_id): (r.coverage, r.changed) for r in decontamination.find_leaks(df, bench).collect()}
+    assert got == {(k, k): (1.0, 0) for k in range(len(DENSE))}
+    assert {r.doc_id for r in decontamination.drop_leaks(df, bench).collect()} == {10, 11, 12}

@@ -5,7 +5,9 @@ words are kept as slot values. Windows of ``window`` template words of every doc
 by hash with those of the benchmark. A document leaks an item where windows that follow one
 another cover enough of the item and its slots agree: each value of the item stands for one value
 in the document, and different values for different ones. So a question asked again with other
-numbers or names is found, while texts that only share a turn of phrase are not.
+numbers or names is found, while texts that only share a turn of phrase are not. Windows of an
+item with few words outside placeholders say too little as templates: those are joined by the
+words themselves, so a copy of an item that is all numbers, names and units is found, too.
 
 The benchmark goes to the executors in blocks of at most ``block`` windows, one pass a block, so
 what is broadcast is bounded whatever its size.
@@ -59,8 +61,8 @@ class Templates:
     def __init__(self, window: int) -> None:
         self.window, self._read = window, {}
 
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-        """Template hash of each word, its placeholder, each text's range of words, and the words."""
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Template hash and own hash of each word, its placeholder, each text's range of words, and the words."""
         lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
         coded = lists.values.dictionary_encode()
         words = coded.dictionary.to_pylist()
@@ -82,7 +84,7 @@ class Templates:
         kind = np.where((kind == 0) & (flags & 1 != 0) & ~opens[:-1], np.int8(NAME), kind)
         own = flags & 4 == 0
         kept = np.concatenate(([0], np.cumsum(own)))
-        return np.where(kind > 0, kind.astype(np.uint64), h)[own], kind[own], kept[edges], lists.values.filter(pa.array(own))
+        return np.where(kind > 0, kind.astype(np.uint64), h)[own], h[own], kind[own], kept[edges], lists.values.filter(pa.array(own))
 
     def windows(self, h: np.ndarray, size: int) -> np.ndarray:
         n = max(0, len(h) - size + 1)
@@ -97,46 +99,49 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, cover: float = COVER) -> None:
         self.templates, self.cover, self.size = Templates(window), cover, window
-        h, kind, edges, words = self.templates.of([t for _, t in items])
+        h, plain, kind, edges, words = self.templates.of([t for _, t in items])
         self.words, self.kinds, self.ids = words.to_pylist(), kind, [i for i, _ in items]
         self.starts, self.lens = edges[:-1], np.diff(edges)
         # items shorter than the window are one window of their own length
-        self.sizes = sorted({int(min(window, n)) for n in self.lens if n >= LITERALS}, reverse=True)
-        hashes, places, owners, size = [], [], [], []
+        found: list[list[tuple[np.ndarray, np.ndarray, int, int]]] = [[], []]  # by template, by the words themselves
         for k, (s, n) in enumerate(zip(self.starts.tolist(), self.lens.tolist())):
             if n < LITERALS:
                 continue
             own = min(window, n)
-            w = self.templates.windows(h[s : s + n], own)
-            literal = np.convolve(kind[s : s + n] == 0, np.ones(own, int), "valid")
-            ok = np.flatnonzero(literal >= min(LITERALS, own))
-            hashes.append(w[ok])
-            places.append(ok)
-            owners.append(np.full(len(ok), k))
-            size.append(np.full(len(ok), own))
+            rich = np.convolve(kind[s : s + n] == 0, np.ones(own, int), "valid") >= min(LITERALS, own)
+            for to, x, ok in zip(found, (h, plain), (np.flatnonzero(rich), np.flatnonzero(~rich))):
+                to.append((self.templates.windows(x[s : s + n], own)[ok], ok, k, own))
+        self.tables = [self._table(x) for x in found]
+
+    @staticmethod
+    def _table(found: list[tuple[np.ndarray, np.ndarray, int, int]]) -> tuple[np.ndarray, ...]:
+        """Hashes in order, and the place, the item and the size of each window."""
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-        hashes, places, owners, size = cat(hashes, np.uint64), cat(places, np.int64), cat(owners, np.int64), cat(size, np.int64)
+        hashes, places = cat([w for w, _, _, _ in found], np.uint64), cat([at for _, at, _, _ in found], np.int64)
+        n = [len(at) for _, at, _, _ in found]
+        owners, size = (np.repeat(np.array([f[c] for f in found], np.int64), n) for c in (2, 3))
         order = np.lexsort((places, owners, hashes))
-        self.hashes, self.places, self.owners, self.size_of = hashes[order], places[order], owners[order], size[order]
+        return hashes[order], places[order], owners[order], size[order]
 
     def leaks(self, texts: list[str]) -> list[list[tuple[int, float, int, int]]]:
         """For each text its leaked items: (item id, share covered, slots, slots with other values)."""
-        h, kind, edges, words = self.templates.of(texts)
+        h, plain, kind, edges, words = self.templates.of(texts)
         hits: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for size in self.sizes:
-            w = self.templates.windows(h, size)
-            lo = np.searchsorted(self.hashes, w, side="left")
-            found = np.flatnonzero(self.hashes[np.minimum(lo, len(self.hashes) - 1)] == w) if len(self.hashes) else []
-            if not len(found):
-                continue
-            text = np.searchsorted(edges, found, side="right") - 1
-            inside = found + size <= edges[text + 1]
-            for p, t in zip(found[inside].tolist(), text[inside].tolist()):
-                k = int(lo[p])
-                while k < len(self.hashes) and self.hashes[k] == w[p]:
-                    if self.size_of[k] == size:
-                        hits.setdefault((t, int(self.owners[k])), []).append((p, int(self.places[k]), size))
-                    k += 1
+        for own, (hashes, places, owners, size_of) in zip((h, plain), self.tables):
+            for size in np.unique(size_of).tolist():
+                w = self.templates.windows(own, size)
+                lo = np.searchsorted(hashes, w, side="left")
+                found = np.flatnonzero(hashes[np.minimum(lo, len(hashes) - 1)] == w)
+                if not len(found):
+                    continue
+                text = np.searchsorted(edges, found, side="right") - 1
+                inside = found + size <= edges[text + 1]
+                for p, t in zip(found[inside].tolist(), text[inside].tolist()):
+                    k = int(lo[p])
+                    while k < len(hashes) and hashes[k] == w[p]:
+                        if size_of[k] == size:
+                            hits.setdefault((t, int(owners[k])), []).append((p, int(places[k]), size))
+                        k += 1
         out: list[list[tuple[int, float, int, int]]] = [[] for _ in texts]
         for (t, item), pairs in sorted(hits.items()):
             if best := self._check(item, pairs, words, int(edges[t])):
