@@ -335,3 +335,9 @@ def test_items_dense_in_numbers_and_names_leak_when_copied(spark):
     got = {(r.doc_id, r.item_id): (r.coverage, r.changed) for r in decontamination.find_leaks(df, bench).collect()}
     assert got == {(k, k): (1.0, 0) for k in range(len(DENSE))}
     assert {r.doc_id for r in decontamination.drop_leaks(df, bench).collect()} == {10, 11, 12}
+
+
+def test_no_text_vanishes_with_a_repeated_id(spark):
+    x, y = words(501, 80), words(502, 80)
+    got = [tuple(r) for r in simhash.keep_one(spark.createDataFrame([(5, x), (5, y), (3, y), (7, x)], TEXT)).collect()]
+    assert {t for _, t in got} == {x, y} and len(got) == 2 == len({i for i, _ in got})

@@ -247,14 +247,17 @@ def near_duplicates(documents: DataFrame, limit: int = 2) -> DataFrame:
 def keep_one(documents: DataFrame, limit: int = 2) -> DataFrame:
     """The rows of ``documents`` that stay: of each group the one with the smallest doc_id.
 
-    Of rows that repeat one doc_id a single row stays; rows without doc_id all stay. All columns
-    of ``documents`` come back, and no others.
+    Of rows that repeat one doc_id the one whose text has the
+    smallest hash stays, before groups are formed; rows without doc_id all stay. All columns of
+    ``documents`` come back, and no others.
     """
-    found = near_duplicates(documents, limit)
-    gone = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    rest = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
     again = written(documents.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id"), "again")
-    if not again.limit(1).count():
-        return rest
-    single = rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns)
-    return rest.join(again, "doc_id", "left_anti").select(*documents.columns).unionByName(single)
+    single = documents
+    if again.limit(1).count():
+        tie = F.xxhash64("text")
+        twice = documents.join(again, "doc_id", "left_semi").select(*documents.columns)
+        best = twice.groupBy(F.col("doc_id").alias("own_id")).agg(F.min(tie).alias("own_tie"))
+        chosen = twice.join(best, (F.col("doc_id") == F.col("own_id")) & (tie == F.col("own_tie"))).select(*documents.columns).dropDuplicates(["doc_id"])
+        single = written(documents.join(again, "doc_id", "left_anti").select(*documents.columns).unionByName(chosen), "single")
+    gone = near_duplicates(single, limit).where("doc_id is not null and doc_id <> component_id").select("doc_id")
+    return single.join(gone, "doc_id", "left_anti").select(*documents.columns)
