@@ -12,6 +12,9 @@
    Top nodes with more than ``split`` members are cut once more by 3 parts of the free bits, one of
    which must agree; a node then has at most 2**18 members, whatever the corpus holds.
 6. Components come from iterated hooking over the links (components.py).
+
+``keep_one`` (the pipeline's stage) also joins groups by the exact Jaccard similarity of 5-word
+shingles; its candidates share one of 40 keys of five least hashes each.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from pyspark.sql.types import LongType
 
 from tidemark.llm.common import written
 from tidemark.llm.components import connected_components
+from tidemark.llm.encoding import chunks
+from tidemark.llm.suffixes import word_hashes
 
 WIDTHS = (13, 13, 13, 13, 12)
 LEAF, FAN = 32, 8
@@ -244,10 +249,100 @@ def near_duplicates(documents: DataFrame, limit: int = 2) -> DataFrame:
     )
 
 
+BANDS, ROWS, SHINGLE, SIMILAR = 40, 5, 5, 0.8
+_MIX = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+def _shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word shingles of texts, and each text's range; a shorter text is one shingle."""
+    words, edges = word_hashes(texts)
+    n = np.diff(edges)
+    size = np.minimum(n, SHINGLE)
+    counts = n - size + (n > 0)
+    starts = np.concatenate(([0], np.cumsum(counts)))
+    at = np.arange(starts[-1]) + np.repeat(edges[:-1] - starts[:-1], counts)
+    size, h = np.repeat(size, counts), np.zeros(starts[-1], np.uint64)
+    for k in range(SHINGLE):
+        more = k < size
+        h[more] = (h[more] ^ words[at[more] + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h, starts
+
+
+def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, keys): texts of Jaccard similarity s share a key but for a chance of (1 - s**ROWS)**BANDS."""
+    for batch in batches:
+        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        for a, b in chunks(texts, 1_000_000):
+            h, starts = _shingles(texts[a:b])
+            own = np.flatnonzero(np.diff(starts))
+            if not len(own):
+                continue
+            keys = np.zeros((len(own), BANDS), np.uint64)
+            for k in range(BANDS * ROWS):
+                x = (h ^ _MIX[0, k]) * _MIX[1, k]
+                x ^= x >> np.uint64(32)
+                low = np.minimum.reduceat(x, starts[own])
+                j = k // ROWS
+                keys[:, j] = (keys[:, j] + low + np.uint64(j)) * np.uint64(0xC2B2AE3D27D4EB4F)
+                keys[:, j] ^= keys[:, j] >> np.uint64(31)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(own + a)), flat], names=["doc_id", "keys"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Those pairs (a, b, text of a, text of b) whose shingle sets have Jaccard similarity SIMILAR or more."""
+    for batch in batches:
+        left, right, keep = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
+        for k, pair in enumerate(zip(left, right)):
+            h, starts = _shingles(list(pair))
+            x, y = np.unique(h[: starts[1]]), np.unique(h[starts[1] :])
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= SIMILAR * (len(x) + len(y) - both))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def similar_groups(documents: DataFrame, limit: int = 2) -> DataFrame:
+    """(doc_id, root): the groups of near_duplicates, joined where two texts have Jaccard similarity SIMILAR.
+
+    ``documents`` has one row for each doc_id. Candidates are texts of different groups that share
+    a key; each counts only by its exact similarity. The first round compares the members of a key
+    with its smallest and largest one, the second all pairs that are in different groups still.
+    """
+    texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    groups = near_duplicates(documents, limit).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("component_id").cast("long").alias("root"))
+    groups = written(groups, "groups")
+    filled = texts.where("text is not null")
+    banded = filled.mapInArrow(_band_keys, "doc_id long, keys array<long>").join(groups, "doc_id")
+    # copies of one text have the same keys: the smallest id of each group stands for them
+    folded = written(banded.groupBy("root", "keys").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.explode("keys").alias("key")), "keys")
+    for whole in (False, True):
+        keyed = folded.join(groups, "doc_id")
+        ends = keyed.groupBy("key").agg(
+            F.min(F.struct("doc_id", "root")).alias("low"), F.max(F.struct("doc_id", "root")).alias("high"),
+            F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last")
+        ends = written(ends.select("key", "low", "high"), "ends")
+        members = written(keyed.join(ends, "key").select("key", "doc_id", "root", "low", "high"), "members")
+        if whole:
+            side = lambda x: members.select("key", F.col("doc_id").alias(x), F.col("root").alias(f"{x}_root"))
+            pairs = side("a").join(side("b"), "key").where("a_root < b_root").select("a", "b")
+        else:
+            pairs = members.select(F.col("doc_id").alias("b"), "root", F.explode(F.array("low", "high")).alias("end")).where("end.root <> root").select(F.col("end.doc_id").alias("a"), "b")
+        pairs = written(pairs.distinct(), "pairs")
+        named = lambda x: filled.select(F.col("doc_id").alias(x), F.col("text").alias(f"{x}_text"))
+        both = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "a_text", "b_text")
+        near = written(both.mapInArrow(_similar, "a long, b long"), "near")
+        of = lambda x: groups.select(F.col("doc_id").alias(x), F.col("root").alias(f"{x}_root"))
+        edges = near.join(of("a"), "a").join(of("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
+        joined = connected_components(written(edges, "edges")).select(F.col("node").alias("root"), F.col("root").alias("lower"))
+        groups = written(groups.join(joined, "root", "left").select("doc_id", F.coalesce("lower", "root").alias("root")), "groups")
+    return groups
+
+
 def keep_one(documents: DataFrame, limit: int = 2) -> DataFrame:
     """The rows of ``documents`` that stay: of each group the one with the smallest doc_id.
 
-    Of rows that repeat one doc_id the one whose text has the
+    Groups are those of similar_groups. Of rows that repeat one doc_id the one whose text has the
     smallest hash stays, before groups are formed; rows without doc_id all stay. All columns of
     ``documents`` come back, and no others.
     """
@@ -259,5 +354,5 @@ def keep_one(documents: DataFrame, limit: int = 2) -> DataFrame:
         best = twice.groupBy(F.col("doc_id").alias("own_id")).agg(F.min(tie).alias("own_tie"))
         chosen = twice.join(best, (F.col("doc_id") == F.col("own_id")) & (tie == F.col("own_tie"))).select(*documents.columns).dropDuplicates(["doc_id"])
         single = written(documents.join(again, "doc_id", "left_anti").select(*documents.columns).unionByName(chosen), "single")
-    gone = near_duplicates(single, limit).where("doc_id is not null and doc_id <> component_id").select("doc_id")
+    gone = similar_groups(single, limit).where("doc_id <> root").select("doc_id")
     return single.join(gone, "doc_id", "left_anti").select(*documents.columns)
