@@ -13,7 +13,6 @@ import json
 import re
 from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,10 +67,26 @@ class _Pieces(dict):
         return np.array(self._flat, np.uint32), np.array(self._ends, np.int64)
 
 
+class _Units(dict):
+    """Unit (what stands between spaces) -> its place among the units cut so far; their pieces' places lie in one flat array."""
+
+    def __init__(self, pieces: _Pieces, find) -> None:
+        self._place, self._find, self._flat, self._ends = pieces.__getitem__, find, array("q"), array("q", [0])
+
+    def __missing__(self, unit: str) -> int:
+        self._flat.extend(map(self._place, self._find(unit)))
+        self._ends.append(len(self._flat))
+        self[unit] = place = len(self)
+        return place
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.array(self._flat, np.int64), np.array(self._ends, np.int64)
+
+
 class Encoder:
     """Encodes batches of texts with one tokenizer file; special tokens' strings are ordinary text."""
 
-    def __init__(self, path: str, pieces: int = 600_000) -> None:
+    def __init__(self, path: str, pieces: int = 400_000) -> None:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._most = pieces
@@ -87,7 +102,11 @@ class Encoder:
                 for x in pre.get("pretokenizers", [])
             ] == [("Split", _WORD_SPLIT, "Removed", True, None, None), ("ByteLevel", None, None, None, False, False)]:
                 self._find, self._words = re.compile(_WORDS).findall, True
+        self._renew()
+
+    def _renew(self) -> None:
         self._pieces = _Pieces(self._tokenizer.model)
+        self._units = _Units(self._pieces, self._find)
 
     def _cut(self, text: str) -> bool:
         """Whether the text may be cut here."""
@@ -117,23 +136,22 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for texts that may be cut: at spaces, then by the pattern, each part once."""
-        if len(self._pieces) > self._most:
-            self._pieces = _Pieces(self._tokenizer.model)
-        place, find = self._pieces.__getitem__, self._find
+        if len(self._pieces) > self._most or len(self._units) > self._most:
+            self._renew()
         lists = pc.split_pattern(pa.array([x.lower() for x in texts] if self._words else texts, pa.string()), " ")
         edges = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values.dictionary_encode()
-        units = coded.dictionary.to_pylist()
+        units = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         codes = coded.indices.to_numpy().astype(np.int64)
-        if self._words:
-            parts = [list(map(place, find(x))) for x in units]
-        else:  # all but a text's first unit begin with the space before them
+        if not self._words:  # all but a text's first unit begin with the space before them
             first = lists.values.take(pa.array(edges[:-1])).to_pylist()
             codes[edges[:-1]] = np.arange(len(first)) + len(units)
-            parts = [list(map(place, find(" " + x))) for x in units] + [list(map(place, find(x))) for x in first]
+            units = [" " + x for x in units] + first
+        own = np.fromiter(map(self._units.__getitem__, units), np.int64, len(units))
+        cut, cut_ends = self._units.tables()
         flat, ends = self._pieces.tables()
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        places = np.fromiter(chain.from_iterable(parts), np.int64, int(sizes.sum()))
+        sizes = cut_ends[own + 1] - cut_ends[own]
+        places = cut[_spread(cut_ends[own], sizes)]
         lens = ends[places + 1] - ends[places]
         unit_ids = flat[_spread(ends[places], lens)]
         unit_ends = np.concatenate(([0], np.cumsum(lens)))[np.concatenate(([0], np.cumsum(sizes)))]
@@ -148,7 +166,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def chunks(texts: list[str | None], chars: int = 8_000_000) -> list[tuple[int, int]]:
+def chunks(texts: list[str | None], chars: int = 4_000_000) -> list[tuple[int, int]]:
     """Ranges of ``texts`` of about ``chars`` characters, one text at least: bounds what is held."""
     out, at, n = [], 0, 0
     for k, x in enumerate(texts):

@@ -29,7 +29,7 @@ from tidemark.llm.common import scratch, written
 from tidemark.llm.encoding import chunks, encoder
 from tidemark.llm.storage import read_bytes, write_bytes
 
-MAGIC, BLOCK_BYTES = b"TMWAVE1\n", 1 << 14
+MAGIC, BLOCK_BYTES, GROUP = b"TMWAVE1\n", 1 << 14, 64
 END_ID, ID_BITS, SHARD_TOKENS = 2, 16, 4_000_000
 
 
@@ -39,7 +39,7 @@ def encode_shard(ids: np.ndarray, bits: int, doc_ids: list[int | None], counts:
     pack = zstandard.ZstdCompressor(level=1)
     zeros, blocks, sizes, before = [], [], [], []
     for plane in range(bits - 1, -1, -1):
-        ones = (seq >> seq.dtype.type(plane) & seq.dtype.type(1)).view(np.uint8)[:: seq.itemsize].astype(bool)
+        ones = (seq & seq.dtype.type(1 << plane)) != 0
         packed = np.packbits(ones, bitorder="little")
         per = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK_BYTES), dtype=np.int64) if len(packed) else np.zeros(0, np.int64)
         before.append(np.cumsum(per) - per)
@@ -49,7 +49,7 @@ def encode_shard(ids: np.ndarray, bits: int, doc_ids: list[int | None], counts:
         blocks += own
         sizes.append([len(x) for x in own])
         if plane:
-            seq = np.concatenate((seq[~ones], seq[ones]))
+            seq = np.concatenate((seq[np.flatnonzero(~ones)], seq[np.flatnonzero(ones)]))  # places gather faster than flags
     valid = np.array([x is not None for x in doc_ids], bool)
     parts = [
         pack.compress(np.array(before, "<i8").tobytes()), pack.compress(np.array([x or 0 for x in doc_ids], "<i8").tobytes()),
@@ -85,14 +85,17 @@ class WaveletShard:
             ends = at + np.cumsum([0, *sizes])
             self._places.append(ends)
             at = int(ends[-1])
-        self._kept: dict[tuple[int, int], np.ndarray] = {}
+        self._kept: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
-    def _bytes(self, plane: int, block: int) -> np.ndarray:
+    def _bytes(self, plane: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """A block's bytes, and the ones before each GROUP of them: the directory within the block."""
         if (plane, block) not in self._kept:
             if len(self._kept) >= 256:
                 self._kept.clear()
             a, b = self._places[plane][block : block + 2]
-            self._kept[plane, block] = np.frombuffer(self._open.decompress(self._data[a:b]), np.uint8)
+            raw = np.frombuffer(self._open.decompress(self._data[a:b]), np.uint8)
+            per = np.add.reduceat(np.bitwise_count(raw), np.arange(0, len(raw), GROUP), dtype=np.int64)
+            self._kept[plane, block] = raw, np.cumsum(per) - per
         return self._kept[plane, block]
 
     def _ones(self, plane: int, place: int) -> int:
@@ -100,8 +103,9 @@ class WaveletShard:
         block, rest = divmod(place, 8 * self._block)
         if block >= self._before.shape[1]:
             return self.tokens - self._zeros[plane]
-        raw = self._bytes(plane, block)
-        n = int(self._before[plane, block]) + int(np.bitwise_count(raw[: rest // 8]).sum())
+        raw, before = self._bytes(plane, block)
+        group = min(rest // 8 // GROUP, len(before) - 1)
+        n = int(self._before[plane, block]) + int(before[group]) + int(np.bitwise_count(raw[group * GROUP : rest // 8]).sum())
         return n + (int(raw[rest // 8]) & ((1 << rest % 8) - 1)).bit_count() if rest % 8 else n
 
     def access(self, place: int) -> int:
@@ -111,7 +115,7 @@ class WaveletShard:
         out = 0
         for p in range(self.bits):
             block, rest = divmod(place, 8 * self._block)
-            bit = int(self._bytes(p, block)[rest // 8]) >> rest % 8 & 1
+            bit = int(self._bytes(p, block)[0][rest // 8]) >> rest % 8 & 1
             ones = self._ones(p, place)
             out, place = out << 1 | bit, self._zeros[p] + ones if bit else place - ones
         return out
@@ -135,8 +139,11 @@ class WaveletShard:
         """Place of the nth zero or one of a plane."""
         starts = self._before[plane] if bit else np.arange(self._before.shape[1]) * 8 * self._block - self._before[plane]
         block = int(np.searchsorted(starts, nth, side="right")) - 1
-        flags = np.unpackbits(self._bytes(plane, block), bitorder="little")
-        return block * 8 * self._block + int(np.flatnonzero(flags == bit)[nth - int(starts[block])])
+        raw, before = self._bytes(plane, block)
+        nth, own = nth - int(starts[block]), before if bit else np.arange(len(before)) * 8 * GROUP - before
+        group = int(np.searchsorted(own, nth, side="right")) - 1
+        flags = np.unpackbits(raw[group * GROUP : (group + 1) * GROUP], bitorder="little")
+        return 8 * (block * self._block + group * GROUP) + int(np.flatnonzero(flags == bit)[nth - int(own[group])])
 
     def select(self, token: int, nth: int) -> int:
         """Place of the nth occurrence (from 0) of ``token``."""
@@ -157,8 +164,8 @@ class WaveletShard:
             raw = b"".join(self._open.decompress(self._data[a:b]) for a, b in zip(places[:-1], places[1:]))
             ones = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.tokens, bitorder="little").astype(bool)
             above = np.empty_like(seq)
-            above[~ones] = seq[: self._zeros[p]]
-            above[ones] = seq[self._zeros[p] :] | kind(1 << (self.bits - 1 - p))
+            above[np.flatnonzero(~ones)] = seq[: self._zeros[p]]
+            above[np.flatnonzero(ones)] = seq[self._zeros[p] :] | kind(1 << (self.bits - 1 - p))
             seq = above
         return seq
 
