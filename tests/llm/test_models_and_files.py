@@ -32,7 +32,7 @@ def plain_ids(path, texts, end):
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_encoder_gives_the_librarys_ids(path):
-    e = Encoder(path, pieces=50)
+    e = Encoder(path, units=50)
     for texts in (TRICKY, TRICKY[:1], [], [x for x in TRICKY if x.isascii()] * 2):
         ids, counts = e.encode(texts)
         want = [x[:-1].tolist() for x in plain_ids(path, texts, 0)] if texts else []

@@ -1,8 +1,8 @@
-"""Token ids by the tokenizers library, with a cache of the pieces its pre-tokenizer makes.
+"""Token ids by the tokenizers library, with a cache of the units between spaces.
 
 BPE merges never cross a piece, so a text's ids are the ids of its pieces in order. For the two
 pre-tokenizers known here, texts of plain Latin characters are cut at spaces by Arrow, distinct
-parts by the pattern, and only pieces not yet seen go to the library's model. Any other text, and
+units by the pattern, and only those not yet seen go to the library's model. Any other text, and
 any other tokenizer, is encoded by the library as it is. The ids are the same either way.
 """
 
@@ -22,7 +22,7 @@ from tokenizers import Tokenizer
 # Latin-1 letters and ASCII: one code point each under NFC and lower(), and Python's re agrees with
 # the library's classes on them.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(rf"[\t-\r -~{_LETTER}]*")
+_OTHER = rf"[^\t-\r -~{_LETTER}]"
 # The two pre-tokenizer patterns, as the tokenizer files state them.
 _BYTE_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+"
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -31,7 +31,7 @@ _WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
 
 # Where a cut before each space would part what the byte-level pattern keeps together.
-_RUNS = re.compile(r"[\t-\r ] (?:[\t-\r ]|\Z)")
+_RUNS = r"[\t-\r ] (?:[\t-\r ]|\z)"
 
 
 def _byte_characters() -> dict[int, str]:
@@ -42,6 +42,7 @@ def _byte_characters() -> dict[int, str]:
 
 
 _BYTES = _byte_characters()
+_SPACE = _BYTES[32]
 
 
 def _spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -50,46 +51,44 @@ def _spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lens), lens)
 
 
-class _Pieces(dict):
-    """Piece -> its place among the pieces encoded so far; ids lie in one flat array."""
-
-    def __init__(self, model) -> None:
-        self._tokenize, self._flat, self._ends = model.tokenize, array("I"), array("q", [0])
-
-    def __missing__(self, piece: str) -> int:
-        mapped = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(_BYTES)
-        self._flat.extend([x.id for x in self._tokenize(mapped)])
-        self._ends.append(len(self._flat))
-        self[piece] = place = len(self)
-        return place
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.array(self._flat, np.uint32), np.array(self._ends, np.int64)
-
-
 class _Units(dict):
-    """Unit (what stands between spaces) -> its place among the units cut so far; their pieces' places lie in one flat array."""
+    """Unit (what stands between spaces) -> its place among the units encoded so far; ids lie in one flat array.
 
-    def __init__(self, pieces: _Pieces, find) -> None:
-        self._place, self._find, self._flat, self._ends = pieces.__getitem__, find, array("q"), array("q", [0])
+    A unit of letters is one piece of the pre-tokenizer; any other is made up of its pieces' ids.
+    """
+
+    def __init__(self, model, find) -> None:
+        self._tokenize, self._find, self._flat, self._ends = model.tokenize, find, array("I"), array("q", [0])
 
     def __missing__(self, unit: str) -> int:
-        self._flat.extend(map(self._place, self._find(unit)))
-        self._ends.append(len(self._flat))
-        self[unit] = place = len(self)
+        bare = unit[1:] if unit[:1] == " " else unit
+        parts = [unit] if bare.isalpha() else self._find(unit)
+        flat, ends = self._flat, self._ends
+        if parts == [unit]:
+            if bare.isascii() and bare.isalnum():
+                mapped = unit if bare is unit else _SPACE + bare
+            else:
+                mapped = unit.encode().decode("latin-1").translate(_BYTES)
+            flat.extend([x.id for x in self._tokenize(mapped)])
+        else:
+            for k in [self[x] for x in parts]:
+                flat.extend(flat[ends[k] : ends[k + 1]])
+        place = len(ends) - 1
+        ends.append(len(flat))
+        self[unit] = place
         return place
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.array(self._flat, np.int64), np.array(self._ends, np.int64)
+        return np.array(self._flat, np.uint32), np.array(self._ends, np.int64)
 
 
 class Encoder:
     """Encodes batches of texts with one tokenizer file; special tokens' strings are ordinary text."""
 
-    def __init__(self, path: str, pieces: int = 400_000) -> None:
+    def __init__(self, path: str, units: int = 800_000) -> None:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._most = pieces
+        self._most = units
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
@@ -105,16 +104,18 @@ class Encoder:
         self._renew()
 
     def _renew(self) -> None:
-        self._pieces = _Pieces(self._tokenizer.model)
-        self._units = _Units(self._pieces, self._find)
+        self._units = _Units(self._tokenizer.model, self._find)
 
-    def _cut(self, text: str) -> bool:
-        """Whether the text may be cut here."""
-        return self._find is not None and bool(_PLAIN.fullmatch(text)) and (self._words or not _RUNS.search(text))
+    def _cut(self, texts: list[str]) -> list[bool]:
+        """Which texts may be cut here."""
+        if self._find is None:
+            return [False] * len(texts)
+        never = _OTHER if self._words else f"{_OTHER}|{_RUNS}"
+        return pc.invert(pc.match_substring_regex(pa.array(texts, pa.string()), never)).to_pylist()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) in the texts' order, and each text's number of ids."""
-        cut = [self._cut(x) for x in texts]
+        cut = self._cut(texts)
         if all(cut):
             return self._quick(texts) if texts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         whole = iter(self._tokenizer.encode_batch([x for x, c in zip(texts, cut) if not c], add_special_tokens=False))
@@ -136,7 +137,7 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for texts that may be cut: at spaces, then by the pattern, each part once."""
-        if len(self._pieces) > self._most or len(self._units) > self._most:
+        if len(self._units) > self._most:
             self._renew()
         lists = pc.split_pattern(pa.array([x.lower() for x in texts] if self._words else texts, pa.string()), " ")
         edges = lists.offsets.to_numpy().astype(np.int64)
@@ -148,15 +149,10 @@ class Encoder:
             codes[edges[:-1]] = np.arange(len(first)) + len(units)
             units = [" " + x for x in units] + first
         own = np.fromiter(map(self._units.__getitem__, units), np.int64, len(units))
-        cut, cut_ends = self._units.tables()
-        flat, ends = self._pieces.tables()
-        sizes = cut_ends[own + 1] - cut_ends[own]
-        places = cut[_spread(cut_ends[own], sizes)]
-        lens = ends[places + 1] - ends[places]
-        unit_ids = flat[_spread(ends[places], lens)]
-        unit_ends = np.concatenate(([0], np.cumsum(lens)))[np.concatenate(([0], np.cumsum(sizes)))]
-        lens = (unit_ends[1:] - unit_ends[:-1])[codes]
-        ids = unit_ids[_spread(unit_ends[codes], lens)]
+        flat, ends = self._units.tables()
+        own = own[codes]
+        lens = ends[own + 1] - ends[own]
+        ids = flat[_spread(ends[own], lens)]
         return ids, np.diff(np.concatenate(([0], np.cumsum(lens)))[edges])
 
 
@@ -166,7 +162,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def chunks(texts: list[str | None], chars: int = 4_000_000) -> list[tuple[int, int]]:
+def chunks(texts: list[str | None], chars: int = 8_000_000) -> list[tuple[int, int]]:
     """Ranges of ``texts`` of about ``chars`` characters, one text at least: bounds what is held."""
     out, at, n = [], 0, 0
     for k, x in enumerate(texts):
