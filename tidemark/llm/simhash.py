@@ -14,7 +14,8 @@
 6. Components come from iterated hooking over the links (components.py).
 
 ``keep_one`` (the pipeline's stage) also joins groups by the exact Jaccard similarity of 5-word
-shingles; its candidates share one of 40 keys of five least hashes each.
+shingles: at 0.8 fingerprints of 64 bits differ in about ten, too many for any index of shared
+bits. Its candidates share one of 24 keys of five least hashes each.
 """
 
 from __future__ import annotations
@@ -249,8 +250,8 @@ def near_duplicates(documents: DataFrame, limit: int = 2) -> DataFrame:
     )
 
 
-BANDS, ROWS, SHINGLE, SIMILAR = 40, 5, 5, 0.8
-_MIX = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+BANDS, ROWS, SHINGLE, SIMILAR = 24, 5, 5, 0.8
+_MIX = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
 def _shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -280,9 +281,7 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             keys = np.zeros((len(own), BANDS), np.uint64)
             for k in range(BANDS * ROWS):
-                x = (h ^ _MIX[0, k]) * _MIX[1, k]
-                x ^= x >> np.uint64(32)
-                low = np.minimum.reduceat(x, starts[own])
+                low = np.minimum.reduceat(h * _MIX[k], starts[own])
                 j = k // ROWS
                 keys[:, j] = (keys[:, j] + low + np.uint64(j)) * np.uint64(0xC2B2AE3D27D4EB4F)
                 keys[:, j] ^= keys[:, j] >> np.uint64(31)
@@ -290,53 +289,88 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(own + a)), flat], names=["doc_id", "keys"])
 
 
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, the text's distinct shingles in order as 8 bytes each)."""
+    for batch in batches:
+        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        for a, b in chunks(texts, 1_000_000):
+            h, starts = _shingles(texts[a:b])
+            sets = [np.unique(h[x:y]).tobytes() for x, y in zip(starts[:-1], starts[1:])]
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Those pairs (a, b, text of a, text of b) whose shingle sets have Jaccard similarity SIMILAR or more."""
+    """Those pairs (a, b, shingles of a, shingles of b) whose Jaccard similarity is SIMILAR or more."""
     for batch in batches:
-        left, right, keep = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
-        for k, pair in enumerate(zip(left, right)):
-            h, starts = _shingles(list(pair))
-            x, y = np.unique(h[: starts[1]]), np.unique(h[starts[1] :])
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= SIMILAR * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        keep = np.zeros(batch.num_rows, bool)
+        for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+            x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+            if min(len(x), len(y)) >= SIMILAR * max(len(x), len(y)):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[k] = both >= SIMILAR * (len(x) + len(y) - both)
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
 def similar_groups(documents: DataFrame, limit: int = 2) -> DataFrame:
     """(doc_id, root): the groups of near_duplicates, joined where two texts have Jaccard similarity SIMILAR.
 
     ``documents`` has one row for each doc_id. Candidates are texts of different groups that share
-    a key; each counts only by its exact similarity. The first round compares the members of a key
-    with its smallest and largest one, the second all pairs that are in different groups still.
+    one of BANDS keys, each of ROWS least hashes; a link counts only by its exact similarity. Rounds
+    compare the members of a key with its smallest and largest id, as long as that joins groups; a last
+    round compares what is in different groups still, pair by pair.
     """
-    texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     groups = near_duplicates(documents, limit).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("component_id").cast("long").alias("root"))
     groups = written(groups, "groups")
-    filled = texts.where("text is not null")
-    banded = filled.mapInArrow(_band_keys, "doc_id long, keys array<long>").join(groups, "doc_id")
+    banded = texts.mapInArrow(_band_keys, "doc_id long, keys array<long>").join(groups, "doc_id")
     # copies of one text have the same keys: the smallest id of each group stands for them
-    folded = written(banded.groupBy("root", "keys").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.explode("keys").alias("key")), "keys")
-    for whole in (False, True):
-        keyed = folded.join(groups, "doc_id")
-        ends = keyed.groupBy("key").agg(
-            F.min(F.struct("doc_id", "root")).alias("low"), F.max(F.struct("doc_id", "root")).alias("high"),
-            F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last")
-        ends = written(ends.select("key", "low", "high"), "ends")
-        members = written(keyed.join(ends, "key").select("key", "doc_id", "root", "low", "high"), "members")
-        if whole:
-            side = lambda x: members.select("key", F.col("doc_id").alias(x), F.col("root").alias(f"{x}_root"))
-            pairs = side("a").join(side("b"), "key").where("a_root < b_root").select("a", "b")
+    folded = banded.groupBy("root", "keys").agg(F.min("doc_id").alias("doc_id"))
+    keyed = written(folded.select("doc_id", "root", F.explode("keys").alias("key")), "keys")
+
+    def live(keyed: DataFrame) -> DataFrame:
+        """Keys whose members are in different groups, with their smallest and largest member."""
+        ends = keyed.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        return written(ends.where("first <> last").select("key", "low", "high"), "live")
+
+    shared = live(keyed)
+    members = written(keyed.join(shared, "key", "left_semi").select("key", "doc_id"), "members")
+    known = written(members.select("doc_id").distinct(), "known")
+    sets = written(texts.join(known, "doc_id").select("doc_id", "text").mapInArrow(_shingle_sets, "doc_id long, shingles binary"), "sets")
+    own, tested, hubs = written(groups.join(known, "doc_id").select("doc_id", "root"), "own"), None, True
+    lower = None
+    named = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"{x}_set"))
+    rooted = lambda x: own.select(F.col("doc_id").alias(x), F.col("root").alias(f"{x}_root"))
+    while True:
+        keyed = members.join(own, "doc_id").select("key", "doc_id", "root")
+        ends = live(keyed)
+        if hubs:
+            each = keyed.join(ends, "key").select(F.col("doc_id").alias("b"), F.col("root").alias("b_root"), F.explode(F.array("low", "high")).alias("a"))
+            pairs = each.distinct().join(rooted("a"), "a").where("a_root <> b_root")
         else:
-            pairs = members.select(F.col("doc_id").alias("b"), "root", F.explode(F.array("low", "high")).alias("end")).where("end.root <> root").select(F.col("end.doc_id").alias("a"), "b")
-        pairs = written(pairs.distinct(), "pairs")
-        named = lambda x: filled.select(F.col("doc_id").alias(x), F.col("text").alias(f"{x}_text"))
-        both = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "a_text", "b_text")
-        near = written(both.mapInArrow(_similar, "a long, b long"), "near")
-        of = lambda x: groups.select(F.col("doc_id").alias(x), F.col("root").alias(f"{x}_root"))
-        edges = near.join(of("a"), "a").join(of("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
-        joined = connected_components(written(edges, "edges")).select(F.col("node").alias("root"), F.col("root").alias("lower"))
-        groups = written(groups.join(joined, "root", "left").select("doc_id", F.coalesce("lower", "root").alias("root")), "groups")
-    return groups
+            side = lambda x: keyed.join(ends, "key", "left_semi").select("key", F.col("doc_id").alias(x), F.col("root").alias(f"{x}_root"))
+            pairs = side("a").join(side("b"), "key").where("a_root <> b_root and a < b")
+        pairs = pairs.select("a", "b").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        both = written(pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(_similar, "a long, b long"), "near")
+        edges = written(both.join(rooted("a"), "a").join(rooted("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "edges")
+        joins = edges.limit(1).count() > 0
+        if joins:
+            moved = connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
+            own = written(own.join(moved, "root", "left").select("doc_id", F.coalesce("to", "root").alias("root")), "own")
+            to = F.coalesce("to", "root").alias("root")
+            lower = moved.select(F.col("root").alias("group"), F.col("to").alias("root")) if lower is None else lower.join(moved, "root", "left").select("group", to).unionByName(
+                moved.join(lower.select(F.col("group").alias("root")), "root", "left_anti").select(F.col("root").alias("group"), F.col("to").alias("root")))
+            lower = written(lower, "lower")
+        if not hubs:
+            break
+        back = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tested = back if tested is None else tested.unionByName(back)
+        hubs = joins
+    if lower is None:
+        return groups
+    return written(groups.withColumnRenamed("root", "group").join(lower, "group", "left").select("doc_id", F.coalesce("root", "group").alias("root")), "groups")
 
 
 def keep_one(documents: DataFrame, limit: int = 2) -> DataFrame:
