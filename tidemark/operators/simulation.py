@@ -22,10 +22,32 @@ PROFILES = {
     "regular": dict(weight=0.40, speed=(1, 2), n_sections=(2, 5), browse=(4, 10), checkout=(2, 5), pick=0.62, put_back=0.15, fitting=0.55, keep=0.75, leave=0.15, abandon=0.07, pause=0.04),
 }
 GENDERS, AGES = {"female": 0.58, "male": 0.42}, {"young": 0.30, "adult": 0.50, "senior": 0.20}
+# What gender and age change; numbers are factors, pairs are added to a range's ends.
+MODIFIERS = {
+    "female": {"browse": 1.25, "fitting": 1.30, "pick": 1.15, "n_sections": (0, 1)},
+    "male": {"browse": 0.80, "fitting": 0.50, "put_back": 1.25, "n_sections": (-1, -1)},
+    "young": {"speed": (1, 1), "pause": 2.0, "put_back": 1.20},
+    "senior": {"speed": (-1, -1), "browse": 1.20, "checkout": 1.40, "abandon": 0.50},
+}
+MOST = {"speed": 3, "n_sections": 12, "pause": 0.5}
 LOG_SCHEMA = "day string, seq long, timestamp string, shopper_id int, action string, row string, col int, details string"
 ROWS, COLS, ENTRANCE, COUNTER = 8, 14, (7, 7), (7, 11)
 ROOMS = ((0, 12), (0, 13), (1, 13))
-SECTIONS = {f"Section {chr(65 + k)}": (1 + k // 4 * 2, 1 + k % 4 * 3) for k in range(12)}
+SHELVES = {(1 + k // 4 * 2, 1 + k % 4 * 3 + side) for k in range(12) for side in (0, 1)}
+SECTIONS = {f"Section {chr(65 + k)}": (2 + k // 4 * 2, 1 + k % 4 * 3) for k in range(12)}  # the cell in front of a shelf
+
+
+def modified(profile: dict, *kinds: str) -> dict:
+    """The profile as gender and age change it, one after the other, within its bounds."""
+    out = dict(profile)
+    for name, change in (x for kind in kinds for x in MODIFIERS.get(kind, {}).items()):
+        most, old = MOST.get(name, float("inf")), out[name]
+        if isinstance(old, tuple):
+            ends = [a + b for a, b in zip(old, change)] if isinstance(change, tuple) else [int(round(a * change, 6)) for a in old]
+            out[name] = tuple(int(max(1, min(most, x))) for x in ends)
+        else:
+            out[name] = min(most, 1.0, old * change)
+    return out
 
 
 def shortest_path(start: tuple[int, int], goals: set[tuple[int, int]], walkable: set[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -57,6 +79,8 @@ class _Visitor:
     goal: str = "section"
     path: list = field(default_factory=list)
     items: list[str] = field(default_factory=list)
+    speed: int = 1
+    rest: int = 0
     busy: int = 0
     spent: int = 0
 
@@ -66,7 +90,7 @@ class Day:
 
     def __init__(self, day: str, seed: int, arrivals: float, minutes: int = 480, opens: int = 600) -> None:
         self.day, self.rng, self.arrivals, self.minutes, self.opens = day, random.Random(seed), arrivals, minutes, opens
-        self.cells = {(r, c) for r in range(ROWS) for c in range(COLS)}
+        self.cells = {(r, c) for r in range(ROWS) for c in range(COLS)} - SHELVES
         self.rows: list[tuple] = []
         self.queue: list[_Visitor] = []
         self.serving: _Visitor | None = None
@@ -81,10 +105,10 @@ class Day:
             hump = max(2.718281828 ** (-0.5 * ((hour - m) / s) ** 2) for m, s in ((13, 1.5), (16.5, 1.2)))
             if self.rng.random() < self.arrivals * (0.15 + 0.85 * hump):
                 name = self.rng.choices(names, [p["weight"] for p in PROFILES.values()])[0]
-                p = PROFILES[name]
-                self.entered += 1
-                who = _Visitor(self.entered, p, self.rng.sample(list(SECTIONS), self.rng.randint(*p["n_sections"])))
                 gender, age = (self.rng.choices(list(x), list(x.values()))[0] for x in (GENDERS, AGES))
+                p = modified(PROFILES[name], gender, age)
+                self.entered += 1
+                who = _Visitor(self.entered, p, self.rng.sample(list(SECTIONS), self.rng.randint(*p["n_sections"])), speed=self.rng.randint(*p["speed"]))
                 self._log(tick, who, "ENTERED", f"profile={name} gender={gender} age={age} plan=[{', '.join(who.todo)}]")
                 self._go(who, "section")
                 inside.append(who)
@@ -112,10 +136,13 @@ class Day:
 
     def _walk(self, tick: int, v: _Visitor) -> None:
         target = {"section": v.todo[0] if v.todo else "", "fitting": "fitting room"}.get(v.goal, v.goal)
-        if v.path and self.rng.random() < v.profile["pause"]:
+        if v.path and not v.rest and self.rng.random() < v.profile["pause"]:
+            v.rest = self.rng.randint(1, 3) + 1
+        if v.path and v.rest:
+            v.rest -= 1
             self._log(tick, v, "PAUSED", f"→ {target}")
             return
-        for _ in range(self.rng.randint(*v.profile["speed"])):
+        for _ in range(v.speed):
             if v.path:
                 v.at = v.path.pop(0)
         if v.path:

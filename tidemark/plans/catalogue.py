@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import geometry_queries, join_queries, log_queries, matching_queries, stream_queries, visit_queries  # noqa: F401
+from tidemark.plans import detection_queries, geometry_queries, join_queries, log_queries, matching_queries, stream_queries, visit_queries  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES, Query
 
 

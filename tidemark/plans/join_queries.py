@@ -41,18 +41,18 @@ def asof_tolerance(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {_RUNS} select a.vid as a_vid, a.run as a_run, b.vid as b_vid, b.run as b_run, b.t0 - a.t1 as gap from runs a join runs b
-on a.vid // 30 = b.vid // 30 and b.t0 - a.t1 > 0 and b.t0 - a.t1 <= {HOUR}""")
+on a.vid % 5 = b.vid % 5 and b.t0 - a.t1 > 0 and b.t0 - a.t1 <= {HOUR}""")
 def handoff_candidates(spark: SparkSession, d: str) -> DataFrame:
-    r = _runs(spark, d).withColumn("lane", F.floor(F.col("vid") / 30))
+    r = _runs(spark, d).withColumn("lane", F.col("vid") % 5)
     side = lambda s: r.select("lane", *[F.col(c).alias(f"{s}_{c}") for c in ("vid", "run", "t0", "t1")])
     pairs = J.gap_join(side("a"), side("b"), "a_t1", "b_t0", HOUR, ["lane"])
     return pairs.select("a_vid", "a_run", "b_vid", "b_run", (F.col("b_t0") - F.col("a_t1")).alias("gap"))
 
 
 @query(f"""with {_RUNS} select a.vid as a_vid, a.run as a_run, b.vid as b_vid, b.run as b_run, least(a.t1, b.t1) - greatest(a.t0, b.t0) as overlap from runs a join runs b
-on a.vid // 30 = b.vid // 30 and a.vid < b.vid and least(a.t1, b.t1) - greatest(a.t0, b.t0) >= {HOUR}""")
+on a.vid % 5 = b.vid % 5 and a.vid < b.vid and least(a.t1, b.t1) - greatest(a.t0, b.t0) >= {HOUR}""")
 def interval_overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
-    r = _runs(spark, d).withColumn("lane", F.floor(F.col("vid") / 30))
+    r = _runs(spark, d).withColumn("lane", F.col("vid") % 5)
     side = lambda s: r.select("lane", *[F.col(c).alias(f"{s}_{c}") for c in ("vid", "run", "t0", "t1")])
     both = J.overlap_join(side("a"), side("b"), "a_t0", "a_t1", "b_t0", "b_t1", HOUR, 24 * HOUR, ["lane"]).where("a_vid < b_vid")
     return both.select("a_vid", "a_run", "b_vid", "b_run", (F.least("a_t1", "b_t1") - F.greatest("a_t0", "b_t0")).alias("overlap"))
@@ -65,9 +65,9 @@ grid as (select g.vid, i, s.x + coalesce((nx - s.x) * (i * {24 * HOUR} - s.t) /
 
 
 @query(f"""with {_GRID} select a.vid as a_vid, b.vid as b_vid, count(*) as steps, round(quantile_cont(abs(a.x - b.x), 0.5), 4) as d, round(avg(case when abs(a.x - b.x) <= 30 then 1 else 0 end), 6) as close
-from grid a join grid b on a.i = b.i and a.vid < b.vid and a.vid // 15 = b.vid // 15 group by all""")
+from grid a join grid b on a.i = b.i and a.vid < b.vid and a.vid % 10 = b.vid % 10 group by all""")
 def pair_evidence(spark: SparkSession, d: str) -> DataFrame:
-    g = Q.resample(V.trail(spark, d), ["vid"], "t", ["x"], 24 * HOUR).withColumn("lane", F.floor(F.col("vid") / 15))
+    g = Q.resample(V.trail(spark, d), ["vid"], "t", ["x"], 24 * HOUR).withColumn("lane", F.col("vid") % 10)
     side = lambda s: g.select("lane", "i", F.col("vid").alias(f"{s}_vid"), F.col("x").alias(f"{s}_x"))
     d_ = F.abs(F.col("a_x") - F.col("b_x"))
     return side("a").join(side("b"), ["lane", "i"]).where("a_vid < b_vid").groupBy("a_vid", "b_vid").agg(
@@ -84,15 +84,15 @@ def fused_trail(spark: SparkSession, d: str) -> DataFrame:
     return fuse(p).select("visitor_id", "i", "map_x", "n_cams")
 
 
-@query(f"""with {V.TRAIL}, probe as (select event_id, vid, x, y from trail where event_id % 50 = 0), target as (select vid, event_id as near, x as tx, y as ty from trail where event_id % 50 <> 0),
-p as (select event_id, near, sqrt((x - tx) ** 2 + (y - ty) ** 2) as dist, row_number() over (partition by event_id order by sqrt((x - tx) ** 2 + (y - ty) ** 2), near) as k from probe join target using (vid) where sqrt((x - tx) ** 2 + (y - ty) ** 2) <= 40)
+@query(f"""with {V.TRAIL}, probe as (select event_id, vid, x, y from trail where event_id % 20 = 0), target as (select vid, event_id as near, x as tx, y as ty from trail),
+p as (select event_id, near, sqrt((x - tx) ** 2 + (y - ty) ** 2) as dist, row_number() over (partition by event_id order by sqrt((x - tx) ** 2 + (y - ty) ** 2), near) as k from probe join target using (vid) where near <> event_id and sqrt((x - tx) ** 2 + (y - ty) ** 2) <= 40)
 select probe.event_id, near, round(dist, 6) as dist from probe left join (select * from p where k = 1) p using (event_id)""")
 def nearest_within(spark: SparkSession, d: str) -> DataFrame:
     t = V.trail(spark, d)
-    probe = t.where("event_id % 50 = 0").select("event_id", "vid", "x", "y")
-    target = t.where("event_id % 50 <> 0").select("vid", F.col("event_id").alias("near"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    probe = t.where("event_id % 20 = 0").select("event_id", "vid", "x", "y")
+    target = t.select("vid", F.col("event_id").alias("near"), F.col("x").alias("tx"), F.col("y").alias("ty"))
     dist = F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
-    best = J.best_match(probe, target, ["vid"], dist <= 40, ["event_id"], [dist, F.col("near")])
+    best = J.best_match(probe, target, ["vid"], (F.col("near") != F.col("event_id")) & (dist <= 40), ["event_id"], [dist, F.col("near")])
     return best.select("event_id", "near", F.round(dist, 6).alias("dist"))
 
 
