@@ -1,6 +1,7 @@
 """Compression quality classifier.
 
-Two zstandard dictionaries are trained from good and from bad labelled texts. A text is cut into
+Two zstandard dictionaries of one size are trained from good and from bad labelled texts; the size
+follows the smaller class, so both are trained however few the labels. A text is cut into
 blocks of ``BLOCK`` bytes, all of which are compressed with either dictionary; the sums of the
 compressed sizes give the normalised difference (bad - good) / (bad + good), which is larger the
 more the text is like the good ones. A logistic curve fitted on labelled texts that the
@@ -26,6 +27,7 @@ from pyspark.sql.types import DoubleType
 from tidemark.llm.common import held_out, label_sample
 
 BLOCK, DICT_BYTES, LEVEL = 512, 96 * 1024, 3
+SHARE, LEAST_DICT, LEAST_BLOCK = 4, 1024, 64
 ROWS, LONGEST = 6000, 20_000
 
 
@@ -55,17 +57,16 @@ def difference(good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor, te
     return (b - g) / (b + g) if raw else 0.0
 
 
-def _dictionary(texts: list[str]) -> bytes:
-    """A trained dictionary, or the texts themselves where there are too few to train from."""
-    blocks = [r[k : k + BLOCK] for t in texts for r in (t.encode(),) for k in range(0, len(r), BLOCK)]
-    blocks = [x for x in blocks if len(x) >= 64]
-    raw = b"".join(blocks)[-DICT_BYTES:]
-    if sum(map(len, blocks)) < 10 * DICT_BYTES:
-        return raw or b" " * 64
+def _blocks(texts: list[str]) -> list[bytes]:
+    return [x for t in texts for r in (t.encode(),) for k in range(0, len(r), BLOCK) if len(x := r[k : k + BLOCK]) >= LEAST_BLOCK]
+
+
+def _dictionary(blocks: list[bytes], size: int) -> bytes:
+    """A dictionary of ``size`` bytes trained from all blocks; the blocks themselves where zstd finds too few to train from."""
     try:
-        return zstandard.train_dictionary(DICT_BYTES, blocks, k=256, d=8, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(size, blocks, k=256, d=8, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return raw
+        return b"".join(blocks)[:size].ljust(64)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -89,15 +90,10 @@ def fit(sample: list[tuple[str, int]]) -> Model:
         return Model(b" " * 64, b" " * 64, 0.0, 4.0 if parts[1] else -4.0 if parts[0] else 0.0)
     seen = {y: [t for k, t in enumerate(x) if k % 3 or len(x) < 3] for y, x in parts.items()}
     rest = [(t, y) for y, x in parts.items() for k, t in enumerate(x) if k % 3 == 0]
-    most = min(sum(len(t.encode()) for t in x) for x in seen.values())  # alike in size, so neither is favoured
-    for y, x in seen.items():
-        total, keep = 0, []
-        for t in x:
-            if total < most * 1.5:
-                keep.append(t)
-                total += len(t.encode())
-        seen[y] = keep
-    good, bad = _dictionary(seen[1]), _dictionary(seen[0])
+    blocks = {y: _blocks(x) for y, x in seen.items()}
+    # both dictionaries have one size, which the smaller class can fill SHARE times over
+    size = max(LEAST_DICT, min(DICT_BYTES, min(sum(map(len, x)) for x in blocks.values()) // SHARE))
+    good, bad = _dictionary(blocks[1], size), _dictionary(blocks[0], size)
     g, b = _compressor(good), _compressor(bad)
     slope, bias = _logistic(np.array([difference(g, b, t) for t, _ in rest]), np.array([float(y) for _, y in rest]))
     return Model(good, bad, slope, bias)
