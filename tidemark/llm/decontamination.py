@@ -228,15 +228,19 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     names = [x.split()[0] for x in schema.split(", ")]
     rows, out = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
     for index in blocks(benchmark, window, cover, block):
-        own = written(rows.mapInArrow(_search(spark.sparkContext.broadcast(index), names), schema), "leaks")
+        sent = spark.sparkContext.broadcast(index)
+        own = written(rows.mapInArrow(_search(sent, names), schema), "leaks")
+        sent.destroy()
         out = own if out is None else out.unionByName(own)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, block: int = 4_000_000) -> DataFrame:
     """The rows of ``documents`` that leak no item, with their columns and no others."""
-    spark, columns = documents.sparkSession, [F.col(f"`{c}`") for c in documents.columns]
-    marked = documents.select(F.struct(*columns).alias("row"))
+    spark, columns, clean = documents.sparkSession, [F.col(f"`{c}`") for c in documents.columns], documents
     for index in blocks(benchmark, window, cover, block):
-        marked = marked.where(_clean(spark.sparkContext.broadcast(index))(F.col("row.text")))
-    return marked.select("row.*")
+        sent = spark.sparkContext.broadcast(index)
+        marked = clean.select(F.struct(*columns).alias("row")).where(_clean(sent)(F.col("row.text")))
+        clean = written(marked.select("row.*"), "clean")  # so one block is out at a time
+        sent.destroy()
+    return clean
