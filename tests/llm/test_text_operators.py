@@ -196,7 +196,15 @@ def test_cutoffs_part_junk_and_bound_false_rejection(spark):
     got = quality_rules.score(docs, lab).toPandas().set_index("doc_id").kept.sort_index()
     assert got.loc[:1499].mean() >= 0.97 and got.loc[5000:].sum() == 0
     few = quality_rules.score(docs, lab.where("doc_id % 20 = 0")).toPandas().set_index("doc_id")
-    assert (few.kept == ~few.base_failed).all()  # too few labels to certify anything
+    assert (few.kept == ~few.base_failed).all() and not few.certified.any()  # too few labels to certify anything
+
+
+def test_each_of_many_languages_has_cutoffs_of_its_own(spark):
+    docs = [(1000 * s + k, words(k, 30) if k < 400 else words(k, 30).replace(" ", "*** "), f"l{s}") for s in range(70) for k in range(0, 460)]
+    featured = spark.createDataFrame(docs, "doc_id long, text string, lang string").select("doc_id", "lang", quality_rules.counts_udf("text").alias("f")).select("doc_id", "lang", "f.*")
+    lab = labels(spark, [(i, int(i % 1000 < 400), 0) for i, _, _ in docs])
+    got = quality_rules.cutoffs(featured, lab)
+    assert len(got) == 70 and all("symbols" in x for x in got.values())
 
 
 def test_rules_on_awkward_rows(spark):

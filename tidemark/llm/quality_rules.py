@@ -1,20 +1,23 @@
-"""Quality rules with risk-controlled cutoffs.
-
-Each text gets a few rates in thousandths. For each stratum (language) and rule, cutoffs are tried
-from the most lenient to stricter ones; a cutoff is certified while the exact binomial (Clopper-
-Pearson) test on the labelled good documents shows at most ``risk`` / rules false rejections at
-level ``level`` / (strata * rules), and the walk ends at the first that fails. This fixed sequence
-and the shared level hold jointly for all rules and strata, so whatever is chosen among certified
-cutoffs keeps the bound. Chosen is the one that parts bad from good labels best, the more lenient
-on ties; a rule without a useful certified cutoff rejects nothing in that stratum.
-
-The counts cover every labelled document; what reaches the driver is a table of strata * rules *
-1001 bins with at most ``strata`` strata (the rest are pooled).
+"""Quality rules with risk-controlled thresholds.
+
+Each text gets a few rates in thousandths; a rule rejects rates over its cutoff. For each stratum (language)
+a path of joint cutoffs, one for each rule, leads from lenient to strict: a step lowers the cutoff of the
+rule that gains most bad texts for the good ones it seems to cost. The path comes from bad
+labels, unlabelled texts and a quarter of the good labels. The other good labels are the holdout: along the path
+a step is certified while the exact binomial (Clopper-Pearson) test shows at most ``risk`` false
+rejections by all rules together at ``level`` / strata, and the walk ends at the first that fails. This
+fixed sequence and the shared level hold for all strata at once, so whatever is chosen among
+certified steps keeps the bound. Chosen is the step that parts bad from good labels best, the more
+lenient on ties. A stratum with too few labels to certify anything has no cutoffs, and column
+``certified`` says so row by row.
+
+The counts cover every document; what reaches the driver are tables of rates by stratum and rule, for strata
+with enough good labels only, so its size is bounded by the labels, not by the documents.
 """
 
 from __future__ import annotations
 
-from math import exp, lgamma, log, log1p
+from math import ceil, exp, lgamma, log, log1p
 
 import numpy as np
 import pandas as pd
@@ -29,7 +32,7 @@ WINDOW, MIN_WORDS, REPEAT_PERCENT = 8, 20, 30
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 EXTRA = ("n_lines", "n_capitals", "n_marks")
 RULES = ("symbols", "dup_lines", "repeats", "capitals", "marks", "long_words")
-POOLED = "\u0000pooled"
+RISK, LEVEL, SLOPE = 0.03, 0.05, 2.0
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -101,65 +104,112 @@ def certified(rejected: int, good: int, risk: float, level: float) -> bool:
     return total <= level
 
 
+def path(look: np.ndarray, bad: np.ndarray, share: float, risk: float = RISK) -> np.ndarray:
+    """Cutoffs (step, rule), never rising along the steps, from counts (rule, rate); 1000 rejects nothing.
+
+    ``look`` counts texts of which about ``share`` are bad, ``bad`` bad ones. Each rule's moves are the corners of
+    its hull of bad against good texts rejected; moves of all rules follow one another by their slope, down to
+    ``SLOPE`` and as long as the good texts they seem to reject are within twice the risk.
+    """
+    top = look.shape[1] - 1
+    over = lambda x: (x[:, ::-1].cumsum(axis=1)[:, ::-1] - x) / np.maximum(1, x.sum(axis=1, keepdims=True))
+    b = over(bad)
+    g = np.maximum.accumulate(np.maximum(0.0, over(look) - share * b)[:, ::-1], axis=1)[:, ::-1] / (1 - share)
+    moves, least = [], 1 / max(1, int(look[0].sum()))
+    for r in range(len(look)):
+        at, worst = top, np.inf
+        while at:
+            slope = (b[r, :at] - b[r, at]) / (g[r, :at] - g[r, at] + least)
+            to = at - 1 - int(slope[::-1].argmax())  # the more lenient of equal ones
+            if slope[to] < SLOPE or b[r, to] <= b[r, at]:
+                break
+            worst = min(worst, float(slope[to]))
+            moves.append((-worst, r, len(moves), to, g[r, to] - g[r, at]))
+            at = to
+    cuts, out, spent = np.full(len(look), top), [], 0.0
+    for _, r, _, to, cost in sorted(moves):
+        spent += cost
+        if spent > 2 * risk:
+            break
+        cuts[r] = to
+        out.append(cuts.copy())
+    return np.array(out, np.int64).reshape(-1, len(look))
+
+
 def choose(good: np.ndarray, bad: np.ndarray, risk: float, level: float) -> int | None:
-    """A certified cutoff (rates above it are rejected) from counts by rate, or None."""
-    n_good, n_bad, best, cutoff = int(good.sum()), int(bad.sum()), 0.0, None
-    over_good, over_bad = np.cumsum(good[::-1])[::-1], np.cumsum(bad[::-1])[::-1]
-    for t in range(len(good) - 2, -1, -1):
-        g, b = int(over_good[t + 1]), int(over_bad[t + 1])
+    """The step to take from the numbers of good and bad texts first rejected at each (the last place: never), or None."""
+    n_good, n_bad, best, step = int(good.sum()), int(bad.sum()), 0.0, None
+    for t, (g, b) in enumerate(zip(good.cumsum()[:-1].tolist(), bad.cumsum()[:-1].tolist())):
         if not certified(g, n_good, risk, level):
             break
         gain = b / max(1, n_bad) - g / max(1, n_good)
         if gain > best + 1e-12:
-            best, cutoff = gain, t
-    return cutoff
+            best, step = gain, t
+    return step
 
 
 def _stratum(lang: Column) -> Column:
     return F.coalesce(lang.cast("string"), F.lit(""))
 
 
-def cutoffs(featured: DataFrame, labels: DataFrame, risk: float = 0.03, level: float = 0.05, strata: int = 64) -> dict[str, dict[str, int]]:
+def cutoffs(featured: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> dict[str, dict[str, int]]:
     """stratum -> rule -> cutoff, from ``featured`` (doc_id, lang, counts) and all ``labels``.
 
     Labels that are null, or that differ for one id, are left out. Texts that fail the base rules
-    don't count. Each row of a repeated doc_id counts.
+    don't count. Each row of a repeated doc_id counts. Strata that certify nothing are not in the result.
     """
+    spark = featured.sparkSession
     lab = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
         F.min("quality").alias("quality"), F.max("quality").alias("__most")
     ).where("quality = __most").select("doc_id", "quality")
-    seen = featured.where(~base_failed(F.col)).select(
-        "doc_id", _stratum(F.col("lang")).alias("stratum"), F.array(*rates(F.col).values()).alias("rates")
-    ).join(lab, "doc_id").select("stratum", "quality", F.posexplode("rates").alias("rule", "rate"))
-    table = written(seen.groupBy("stratum", "quality", "rule", "rate").agg(F.count("*").alias("n")), "rates")
-    kept = [r.stratum for r in table.where("rule = 0").groupBy("stratum").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "stratum").limit(strata).collect()]
-    pooled = table.withColumn("stratum", F.when(F.col("stratum").isin(kept), F.col("stratum")).otherwise(POOLED))
-    hist: dict[str, np.ndarray] = {}
-    for r in pooled.groupBy("stratum", "quality", "rule", "rate").agg(F.sum("n").alias("n")).collect():  # bounded by strata * rules * 1001 * 2
-        hist.setdefault(r.stratum, np.zeros((2, len(RULES), 1001), np.int64))[int(r.quality == 1), r.rule, r.rate] += r.n
-    tests = max(1, len(hist)) * len(RULES)
-    out: dict[str, dict[str, int]] = {s: {} for s in kept}
-    for s, h in hist.items():
-        for k, rule in enumerate(RULES):
-            if (t := choose(h[1, k], h[0, k], risk / len(RULES), level / tests)) is not None:
-                out.setdefault(s, {})[rule] = t
+    passed = featured.where(~base_failed(F.col)).select("doc_id", _stratum(F.col("lang")).alias("stratum"), F.array(*rates(F.col).values()).alias("rates"))
+    kept_back = F.xxhash64("doc_id", F.lit(4)).bitwiseAND(3) != 0
+    role = F.when(F.col("quality") == 0, "bad").when((F.col("quality") == 1) & kept_back, "test").otherwise("look")
+    seen = passed.join(lab, "doc_id", "left").select("stratum", "rates", role.alias("role"))
+    table = written(seen.groupBy("stratum", "role", "rates").agg(F.count("*").alias("n")), "rates")
+    sizes = table.groupBy("stratum").agg(*[F.sum(F.when(F.col("role") == x, F.col("n")).otherwise(0)).alias(x) for x in ("bad", "test")])
+    least = ceil(log(level) / log1p(-risk))  # fewer good labels certify nothing, even if none is rejected
+    strata = {r.stratum: r.bad / (r.bad + r.test * 4 / 3) for r in sizes.where(F.col("test") >= least).collect()}
+    if not strata:
+        return {}
+    chosen = spark.createDataFrame([(s,) for s in sorted(strata)], "stratum string")
+    own = table.join(F.broadcast(chosen), "stratum")  # a row a stratum with that many labels
+    flat = own.where("role <> 'test'").select("stratum", "role", "n", F.posexplode("rates").alias("rule", "rate"))
+    hist = {s: np.zeros((2, len(RULES), 1001), np.int64) for s in strata}
+    for r in flat.groupBy("stratum", "role", "rule", "rate").agg(F.sum("n").alias("n")).collect():  # at most strata * rules * 1001 * 2
+        hist[r.stratum][int(r.role == "bad"), r.rule, r.rate] += r.n
+    paths = {s: p for s, h in hist.items() if len(p := path(*h, strata[s], risk))}
+    if not paths:
+        return {}
+    steps = spark.createDataFrame([(s, p.T.tolist()) for s, p in sorted(paths.items())], "stratum string, cuts array<array<int>>")
+    # cutoffs never rise, so the first step that rejects a rate is the number of steps that don't
+    first = F.array_min(F.transform("rates", lambda x, k: F.size(F.filter(F.get("cuts", k), lambda c: c >= x))))
+    at = table.where("role <> 'look'").join(F.broadcast(steps), "stratum").select("stratum", "role", "n", first.alias("step"))
+    met = {s: np.zeros((2, len(p) + 1), np.int64) for s, p in paths.items()}
+    for r in at.groupBy("stratum", "role", "step").agg(F.sum("n").alias("n")).collect():
+        met[r.stratum][int(r.role == "bad"), r.step] += r.n
+    out = {}
+    for s, (good, bad) in met.items():
+        if (j := choose(good, bad, risk, level / len(strata))) is not None:
+            out[s] = {rule: int(c) for rule, c in zip(RULES, paths[s][j]) if c < 1000}
     return out
 
 
 def verdict(f, lang: Column, found: dict[str, dict[str, int]]) -> Column:
     """True where a text stays: it passes the base rules and no rate is over its stratum's cutoff."""
     stratum, over = _stratum(lang), F.lit(False)
-    own = F.when(stratum.isin([s for s in found if s != POOLED]), stratum).otherwise(POOLED) if found else F.lit(POOLED)
     for rule, rate in rates(f).items():
         at = {s: x[rule] for s, x in found.items() if rule in x}
         if at:
             table = F.create_map(*[F.lit(y) for s, t in sorted(at.items()) for y in (s, t)])
-            over = over | F.coalesce(rate > F.try_element_at(table, own), F.lit(False))
+            over = over | F.coalesce(rate > F.try_element_at(table, stratum), F.lit(False))
     return ~base_failed(f) & ~over
 
 
 def score(documents: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """(doc_id, BASE counts, base_failed, kept) for every row of ``documents``.
+    """(doc_id, BASE counts, base_failed, kept, certified) for every row of ``documents``.
+
+    certified: whether the row's stratum has cutoffs, beyond the base rules.
 
     Null texts count as empty and fail the base rules. A null lang is a stratum of its own. Rows
     without doc_id are judged but teach nothing. Without labels only the base rules hold. Other
@@ -168,15 +218,14 @@ def score(documents: DataFrame, labels: DataFrame, **params) -> DataFrame:
     featured = written(documents.select("doc_id", "lang", counts_udf("text").alias("f")).select("doc_id", "lang", "f.*"), "counts")
     found = cutoffs(featured, labels, **params)
     return featured.select(
-        "doc_id", *BASE, base_failed(F.col).alias("base_failed"), verdict(F.col, F.col("lang"), found).alias("kept")
+        "doc_id", *BASE, base_failed(F.col).alias("base_failed"), verdict(F.col, F.col("lang"), found).alias("kept"),
+        _stratum(F.col("lang")).isin(sorted(found)).alias("certified"),
     )
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """The rows of ``documents`` that stay, with their columns and no others."""
-    featured = written(documents.select("doc_id", "lang", counts_udf("text").alias("f")).select("doc_id", "lang", "f.*"), "counts")
-    found = cutoffs(featured, labels, **params)
+    """The rows of ``documents`` that stay, with their columns and no others; each text is counted once."""
     columns = [F.col(f"`{c}`") for c in documents.columns]
-    marked = documents.select(F.struct(*columns).alias("row"), counts_udf("text").alias("f"))
-    stays = verdict(lambda c: F.col(f"f.{c}"), F.col("row.lang"), found)
-    return marked.where(stays).select("row.*")
+    counted = written(documents.select(F.struct(*columns).alias("row"), counts_udf("text").alias("f")), "counted")
+    found = cutoffs(counted.select("row.doc_id", "row.lang", "f.*"), labels, **params)
+    return counted.where(verdict(lambda c: F.col(f"f.{c}"), F.col("row.lang"), found)).select("row.*")
