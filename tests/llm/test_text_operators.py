@@ -316,6 +316,13 @@ def test_redaction_replaces_spans_only(spark):
     assert tuple(got[2]) == (2, "nothing", 7, "b") and tuple(got[3]) == (3, None, None, None)
 
 
+def test_redaction_of_very_many_spans(spark):
+    text = "é ".join(f"x{k}@b{k}.org 10.0.0.{k % 300}," for k in range(1500))
+    got = pii.redact(spark.createDataFrame([(1, text), (2, "no"), (3, None)], TEXT)).orderBy("doc_id").collect()
+    want = "é ".join(f"[EMAIL] {'[IP]' if k % 300 < 256 else f'10.0.0.{k % 300}'}," for k in range(1500))
+    assert [r.text for r in got] == [want, "no", None]
+
+
 def test_no_python_in_the_plan(spark, tmp_path):
     import contextlib
     import io

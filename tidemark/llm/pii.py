@@ -240,21 +240,29 @@ def redact(documents: DataFrame) -> DataFrame:
     Overlapping spans are replaced from the first start on, under the kind of the first. Rows and
     columns stay as they are; a text without spans, or null, is not touched.
     """
-    base, extra = _found(_text(F.col("text")))
-    weights = learn(documents.select(extra.alias("extra")))
     columns = [F.col(f"`{c}`") for c in documents.columns]
     base, extra = _found(_text(F.col("row.text")))
-    marked = documents.select(F.struct(*columns).alias("row")).select("row", F.array_sort(F.concat(base, _accepted(extra, weights))).alias("spans"))
+    found = written(documents.select(F.struct(*columns).alias("row")).select("row", base.alias("base"), extra.alias("extra")), "found")
+    spans = F.array_sort(F.concat("base", _accepted(F.col("extra"), learn(found))))
+    marked = found.select("row", spans.alias("spans"))
     names, text = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), F.col("row.text")
 
-    def step(acc: Column, x: Column) -> Column:
-        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.element_at(names, x["kind"] + 1))
-        return F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out")
-        )
+    def run(acc: Column, k: Column) -> Column:
+        """The text from where the last run ended to where this one does; only this part is cut again and again."""
+        own = F.slice("spans", k, F.lit(_RUN))
+        end = F.greatest(acc["at"], F.array_max(F.transform(own, lambda x: x["end"])))
+        part = F.substring(text, acc["at"] + 1, end - acc["at"])
+
+        def step(a: Column, x: Column) -> Column:
+            new = F.concat(a["out"], F.substring(part, a["at"] - acc["at"] + 1, x["start"] - a["at"]), F.element_at(names, x["kind"] + 1))
+            return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["start"] >= a["at"], new).otherwise(a["out"]).alias("out"))
+
+        done = F.aggregate(own, F.struct(acc["at"].alias("at"), F.lit("").alias("out")), step)
+        return F.struct(done["at"].alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out"))
 
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    clean = F.when(F.size("spans") > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
+    starts = F.sequence(F.lit(1), F.size("spans"), F.lit(_RUN))
+    done = F.aggregate(starts, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")), run)
+    clean = F.when(F.size("spans") > 0, F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
     out = marked.select("row", clean.alias("clean"), (F.size("spans") > 0).alias("hit"))
     return out.select(*[
         F.col("clean").alias(c) if c == "text"
