@@ -38,6 +38,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables that are removed together once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark, self._paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch(self._spark, name)
+        self._paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        jvm, conf = self._spark._jvm, self._spark._jsc.hadoopConfiguration()
+        for p in self._paths:
+            at = jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(conf).delete(at, True)
+        self._paths = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

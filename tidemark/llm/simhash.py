@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidemark.llm.common import written
+from tidemark.llm.common import Scratch, written
 from tidemark.llm.components import connected_components
 from tidemark.llm.encoding import chunks
 from tidemark.llm.suffixes import word_hashes
@@ -250,7 +250,7 @@ def near_duplicates(documents: DataFrame, limit: int = 2) -> DataFrame:
     )
 
 
-BANDS, ROWS, SHINGLE, SIMILAR = 24, 5, 5, 0.8
+BANDS, ROWS, SHINGLE, SIMILAR, BUCKET_BITS = 24, 5, 5, 0.8, 20
 _MIX = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
@@ -299,6 +299,46 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
 
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _rarest(texts: DataFrame, tmp: Scratch) -> DataFrame:
+    """(shingle, doc_id, root, n, place): of each text as many of its rarest shingles as two similar texts must share one of.
+
+    The order is by how often a shingle's bucket occurs, then by the shingle; the counts are 2**BUCKET_BITS numbers.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                np.add.at(n, _bucket(np.frombuffer(x.as_buffer(), np.uint64)), 1)
+        k = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n[k])], names=["bucket", "n"])
+
+    counted = tmp.written(texts.select("shingles").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "buckets")
+    table = np.zeros(1 << BUCKET_BITS, np.int64)
+    got = counted.toArrow()  # 2**BUCKET_BITS rows at most, whatever the corpus holds
+    table[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    sent = texts.sparkSession.sparkContext.broadcast(table)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for x in batch.column(3):
+                own = np.frombuffer(x.as_buffer(), np.uint64)
+                order = np.lexsort((own, sent.value[_bucket(own)]))
+                found.append(own[order[: len(own) - int(np.ceil(SIMILAR * len(own) - 1e-9)) + 1]])
+            rows = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            at = np.concatenate([np.arange(len(x)) for x in found]) if found else np.zeros(0, np.int64)
+            cols = [pa.array(flat.view(np.int64)), *[batch.column(k).take(rows) for k in range(3)], pa.array(at.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["shingle", "doc_id", "root", "n", "place"])
+
+    return texts.mapInArrow(pick, "shingle long, doc_id long, root long, n int, place int")
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Those pairs (a, b, shingles of a, shingles of b) whose Jaccard similarity is SIMILAR or more."""
     for batch in batches:
@@ -315,62 +355,77 @@ def similar_groups(documents: DataFrame, limit: int = 2) -> DataFrame:
     """(doc_id, root): the groups of near_duplicates, joined where two texts have Jaccard similarity SIMILAR.
 
     ``documents`` has one row for each doc_id. Candidates are texts of different groups that share
-    one of BANDS keys, each of ROWS least hashes; a link counts only by its exact similarity. Rounds
-    compare the members of a key with its smallest and largest id, as long as that joins groups; a last
-    round compares what is in different groups still, pair by pair.
+    one of BANDS keys, each of ROWS least hashes, and whose numbers of shingles allow the similarity; a link
+    counts only by its exact similarity. In a round each text is compared with one hub: the smallest id it
+    shares a key with and was not compared with yet. Rounds go on as long as they join groups. A last one takes
+    the texts whose keys lead to different groups still: of two similar ones the rarest fifth of the shingles, in one
+    order for all, have one in common, with enough behind it; other pairs are passed over without loss.
     """
+    tmp = Scratch(documents.sparkSession)
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     groups = near_duplicates(documents, limit).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("component_id").cast("long").alias("root"))
-    groups = written(groups, "groups")
+    groups = tmp.written(groups, "groups")
     banded = texts.mapInArrow(_band_keys, "doc_id long, keys array<long>").join(groups, "doc_id")
     # copies of one text have the same keys: the smallest id of each group stands for them
     folded = banded.groupBy("root", "keys").agg(F.min("doc_id").alias("doc_id"))
-    keyed = written(folded.select("doc_id", "root", F.explode("keys").alias("key")), "keys")
+    keyed = tmp.written(folded.select("doc_id", "root", F.explode("keys").alias("key")), "keys")
 
     def live(keyed: DataFrame) -> DataFrame:
-        """Keys whose members are in different groups, with their smallest and largest member."""
-        ends = keyed.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-        return written(ends.where("first <> last").select("key", "low", "high"), "live")
-
-    shared = live(keyed)
-    members = written(keyed.join(shared, "key", "left_semi").select("key", "doc_id"), "members")
-    known = written(members.select("doc_id").distinct(), "known")
-    sets = written(texts.join(known, "doc_id").select("doc_id", "text").mapInArrow(_shingle_sets, "doc_id long, shingles binary"), "sets")
-    own, tested, hubs = written(groups.join(known, "doc_id").select("doc_id", "root"), "own"), None, True
-    lower = None
+        """Keys whose members are in different groups, with their smallest member."""
+        ends = keyed.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.min(F.struct("doc_id", "root", "n")).alias("hub"))
+        return tmp.written(ends.where("first <> last").select("key", "hub"), "live")
+
+    shared = live(keyed.withColumn("n", F.lit(0)))
+    members = tmp.written(keyed.join(shared, "key", "left_semi").select("key", "doc_id"), "members")
+    known = tmp.written(members.select("doc_id").distinct(), "known")
+    sets = tmp.written(texts.join(known, "doc_id").select("doc_id", "text").mapInArrow(_shingle_sets, "doc_id long, shingles binary"), "sets")
+    own = groups.join(sets.select("doc_id", (F.length("shingles") / 8).cast("int").alias("n")), "doc_id").select("doc_id", "root", "n")
+    own, tested, lower, hubs = tmp.written(own, "own"), None, None, True
     named = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"{x}_set"))
     rooted = lambda x: own.select(F.col("doc_id").alias(x), F.col("root").alias(f"{x}_root"))
+    alike = lambda m, n: F.least(m, n) >= SIMILAR * F.greatest(m, n)
     while True:
-        keyed = members.join(own, "doc_id").select("key", "doc_id", "root")
+        keyed = members.join(own, "doc_id").select("key", "doc_id", "root", "n")
         ends = live(keyed)
         if hubs:
-            each = keyed.join(ends, "key").select(F.col("doc_id").alias("b"), F.col("root").alias("b_root"), F.explode(F.array("low", "high")).alias("a"))
-            pairs = each.distinct().join(rooted("a"), "a").where("a_root <> b_root")
+            each = keyed.join(ends, "key").where((F.col("hub.root") != F.col("root")) & alike(F.col("n"), F.col("hub.n")))
+            pairs = each.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
         else:
-            side = lambda x: keyed.join(ends, "key", "left_semi").select("key", F.col("doc_id").alias(x), F.col("root").alias(f"{x}_root"))
-            pairs = side("a").join(side("b"), "key").where("a_root <> b_root and a < b")
-        pairs = pairs.select("a", "b").distinct()
+            left_over = keyed.join(ends, "key", "left_semi").select("doc_id", "root", "n").distinct()
+            rare = tmp.written(_rarest(left_over.join(sets, "doc_id").select("doc_id", "root", "n", "shingles"), tmp), "rare")
+            side = lambda x: rare.select(*[F.col(c).alias(f"{x}_{c}") for c in ("shingle", "doc_id", "root", "n", "place")])
+            apart = (F.col("a_root") != F.col("b_root")) & (F.col("a_doc_id") < F.col("b_doc_id")) & alike(F.col("a_n"), F.col("b_n"))
+            # from the first shingle they share on, enough must be left on both sides
+            left = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+            enough = left * (1 + SIMILAR) >= (F.col("a_n") + F.col("b_n")) * SIMILAR - 1e-6
+            pairs = side("a").join(side("b"), (F.col("a_shingle") == F.col("b_shingle")) & apart & enough).select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        both = written(pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(_similar, "a long, b long"), "near")
-        edges = written(both.join(rooted("a"), "a").join(rooted("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "edges")
+        if hubs:
+            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        pairs = tmp.written(pairs, "pairs")
+        near = tmp.written(pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(_similar, "a long, b long"), "near")
+        edges = tmp.written(near.join(rooted("a"), "a").join(rooted("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "edges")
         joins = edges.limit(1).count() > 0
         if joins:
             moved = connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
-            own = written(own.join(moved, "root", "left").select("doc_id", F.coalesce("to", "root").alias("root")), "own")
             to = F.coalesce("to", "root").alias("root")
-            lower = moved.select(F.col("root").alias("group"), F.col("to").alias("root")) if lower is None else lower.join(moved, "root", "left").select("group", to).unionByName(
-                moved.join(lower.select(F.col("group").alias("root")), "root", "left_anti").select(F.col("root").alias("group"), F.col("to").alias("root")))
-            lower = written(lower, "lower")
+            own = tmp.written(own.join(moved, "root", "left").select("doc_id", to, "n"), "own")
+            if lower is None:
+                lower = moved.select(F.col("root").alias("group"), F.col("to").alias("root"))
+            else:  # groups that moved before move on; others move now
+                again = lower.join(moved, "root", "left").select("group", to)
+                fresh = moved.join(lower.select(F.col("group").alias("root")), "root", "left_anti").select(F.col("root").alias("group"), F.col("to").alias("root"))
+                lower = again.unionByName(fresh)
+            lower = tmp.written(lower, "lower")
         if not hubs:
             break
-        back = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tested = back if tested is None else tested.unionByName(back)
+        tested = pairs if tested is None else tested.unionByName(pairs)
         hubs = joins
-    if lower is None:
-        return groups
-    return written(groups.withColumnRenamed("root", "group").join(lower, "group", "left").select("doc_id", F.coalesce("root", "group").alias("root")), "groups")
+    out = groups if lower is None else groups.withColumnRenamed("root", "group").join(lower, "group", "left").select("doc_id", F.coalesce("root", "group").alias("root"))
+    out = written(out, "similar")
+    tmp.remove()
+    return out
 
 
 def keep_one(documents: DataFrame, limit: int = 2) -> DataFrame:
