@@ -69,3 +69,28 @@ def test_catalogues(spark):
     assert S.list_maps(spark.createDataFrame([("a.PNG",), ("b.txt",)], "name string")).count() == 1
     sc = spark.createDataFrame([("s",)], "name string").withColumns({"cameras": F.expr("array(named_struct('video', 'c'), named_struct('video', 'x'))"), "landmarks": F.expr("array(1, 2)")})
     assert [tuple(r) for r in S.list_scenes(sc, c).collect()] == [("s", 2, 2, 1)]
+
+
+def test_lines_and_rows_of_a_summary(spark, tmp_path):
+    (tmp_path / "s.csv").write_text('id,note\n1,"two\nlines"\n2,b\n')
+    assert S.read_lines(spark, str(tmp_path / "s.csv")).count() == 4 and S.row_count(spark, str(tmp_path / "s.csv")) == 2
+
+
+def test_ids_are_rewritten_beside_the_input(spark, tmp_path):
+    tracks = spark.createDataFrame([(1, 0.5), (2, 0.6)], "track_id int, conf double")
+    objects = spark.createDataFrame([("bag", 2), ("bag", None)], "label string, person_id int")
+    S.rewrite_ids(tracks, objects, spark.createDataFrame([(2, 1)], "old_id int, new_id int"), str(tmp_path / "out"))
+    read = lambda x: spark.read.option("header", True).csv(str(tmp_path / "out" / x))
+    assert {r.track_id for r in read("tracks").collect()} == {"1"} and {r.person_id for r in read("objects").collect()} == {"1", None}
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        S.rewrite_ids(tracks, objects, spark.createDataFrame([(2, 1)], "old_id int, new_id int"), str(tmp_path / "out"))
+
+
+def test_a_cached_table_is_made_once_a_file(spark, tmp_path):
+    file, made = tmp_path / "v.mp4", []
+    build = lambda: made.append(1) or spark.range(len(made))
+    file.write_text("a")
+    first = S.cached(spark, str(file), str(tmp_path / "cache"), build).count()
+    again = S.cached(spark, str(file), str(tmp_path / "cache"), build).count()
+    file.write_text("ab")
+    assert (first, again, S.cached(spark, str(file), str(tmp_path / "cache"), build).count(), len(made)) == (1, 1, 2, 2)

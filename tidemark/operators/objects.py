@@ -10,6 +10,7 @@ from pyspark.sql.types import DoubleType
 
 from tidemark.functions import geometry as G
 from tidemark.operators import sequence
+from tidemark.operators.joins import relabel
 
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -122,6 +123,24 @@ def height_model(samples: DataFrame, keys: list[str], least: int = 20) -> DataFr
     return g.where(F.col("n") >= least)
 
 
+def frame_panel(detections: DataFrame, objects: DataFrame, conf: str = "conf") -> DataFrame:
+    """(frame, people, estimated, mean_conf, held) of each frame with people or held objects; ``objects`` have a person_id where held."""
+    people = detections.groupBy("frame").agg(
+        F.count("*").alias("people"), F.count_if(F.coalesce(F.col("foot_src") != "box", F.lit(False))).alias("estimated"), F.round(F.avg(conf), 4).alias("mean_conf"))
+    held = objects.where("person_id is not null").groupBy("frame").agg(F.count("*").alias("held"))
+    return people.join(held, "frame", "full").select(
+        "frame", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("people", "estimated")], "mean_conf", F.coalesce("held", F.lit(0)).alias("held"))
+
+
+def attribute_late(samples: DataFrame, finals: DataFrame) -> DataFrame:
+    """(person_id, label, n, first_t, last_t): objects sampled under live ids, told by the ids settled later.
+
+    ``finals`` has old_id and new_id; a live id that was never changed stays. Samples without a holder are left out.
+    """
+    named = relabel(samples.where("person_id is not null"), finals, "person_id")
+    return named.groupBy("person_id", "label").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+
+
 def run_statistics(detections: DataFrame, frames: DataFrame) -> DataFrame:
     """One row: detections, ids, most and mean per frame (empty frames count), lasting tracks, share estimated."""
     per = frames.join(detections.groupBy("frame").agg(F.count("*").alias("k")), "frame", "left")

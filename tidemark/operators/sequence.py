@@ -84,6 +84,15 @@ def rolling_median(df: DataFrame, keys: Cols, order: Cols, value: str, half: int
     return df.withColumn(out, F.get(around, F.floor(F.size(around) / 2).cast("int")))
 
 
+def causal_median(df: DataFrame, keys: Cols, t: str, tie: Cols, value: str, back: int, forget: float, out: str = "med") -> DataFrame:
+    """Upper median of each row and up to ``back`` rows before it; a key silent for longer than ``forget`` starts anew."""
+    order = [t, *tie]
+    silent = F.coalesce((F.col(t) - F.lag(t).over(_w(keys, order)) > forget).cast("int"), F.lit(0))
+    part = F.sum("__new").over(_w(keys, order).rowsBetween(Window.unboundedPreceding, 0))
+    parts = df.withColumn("__new", silent).withColumn("__part", part)
+    return rolling_median(parts, [*keys, "__part"], order, value, back, out, causal=True).drop("__new", "__part")
+
+
 def smoothing_window(seconds: float, fps: float) -> int:
     """Frames of the smoothing window, odd; 0 when it would be under 3."""
     n = int(round(seconds * fps)) | 1

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import detections as D
+from tidemark.operators import objects as O
 from tidemark.operators import simulation as S
 from tidemark.plans import views as V
 from tidemark.plans.registry import query
+from tidemark.streaming import events as E
 
 _CLASSES = ["person", "handbag", "suitcase", "cell phone", "bottle"]
 _NAMED = "named as (select *, ['person', 'handbag', 'suitcase', 'cell phone', 'bottle'][label % 5 + 1] as class from boxes)"
@@ -99,3 +101,33 @@ def visitor_parameters(spark: SparkSession, d: str) -> DataFrame:
         rows.append((name, gender, age, *ranges, *[round(float(p[k]), 6) for k in ("pick", "put_back", "fitting", "abandon", "pause")]))
     ends = ", ".join(f"{k}_{e} int" for k in ("speed", "browse", "checkout", "sections") for e in ("low", "high"))
     return spark.createDataFrame(rows, f"profile string, gender string, age string, {ends}, pick double, put_back double, fitting double, abandon double, pause double")
+
+
+@query(f"""with {_HELD}, d as (select frame, count(*) as people, count_if(id % 2 = 1) as estimated, round(avg(score), 4) as mean_conf from people_of group by frame),
+  h as (select frame, count(*) as held from objects where person_id is not null group by frame)
+select frame, coalesce(people, 0) as people, coalesce(estimated, 0) as estimated, mean_conf, coalesce(held, 0) as held from d full join h using (frame)""".replace("objects as (", "people_of as (select * from named where class = 'person'), objects as (", 1))
+def frame_panel(spark: SparkSession, d: str) -> DataFrame:
+    n = _named(spark, d)
+    people = n.where("class = 'person'").withColumn("foot_src", F.when(F.col("id") % 2 == 1, "knees").otherwise("box"))
+    holder = F.when(F.col("id") % 3 != 0, F.col("frame") * 10 + F.col("id") % 7)
+    return O.frame_panel(people, n.where("class <> 'person'").withColumn("person_id", holder), "score")
+
+
+@query(f"""with {V.BOXES}, {_NAMED}, samples as (select frame as t, class as label, case when id % 3 <> 0 then id % 40 end as person_id from named where class <> 'person')
+select case when person_id % 4 = 1 then person_id - 1 else person_id end as person_id, label, count(*) as n, min(t) as first_t, max(t) as last_t
+from samples where person_id is not null group by all""")
+def late_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Objects sampled under live ids, of which every fourth was merged into the one before it."""
+    held = _named(spark, d).where("class <> 'person'").withColumn("person_id", F.when(F.col("id") % 3 != 0, F.col("id") % 40))
+    samples = held.select(F.col("frame").alias("t"), F.col("class").alias("label"), "person_id")
+    finals = samples.select(F.col("person_id").alias("old_id")).distinct().where("old_id % 4 = 1").withColumn("new_id", F.col("old_id") - 1)
+    return O.attribute_late(samples, finals)
+
+
+@query("""with b as (select event_id, event_type, ts, time_bucket(interval '1 hour', ts) as hour from events),
+  n as (select event_type, hour, max(ts) as newest, count(*) as seen from b group by all)
+select event_id, event_type, seen, seen - count(*) over (partition by event_type, hour) as shed from b join n using (event_type, hour) where ts = newest""")
+def shed_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Each hour stands for a batch that has to keep up."""
+    e = V.table(spark, d, "events").select("event_id", "event_type", "ts", F.date_trunc("hour", "ts").alias("hour"))
+    return E.latest_only(e, ["event_type", "hour"], "ts").select("event_id", "event_type", "seen", "shed")

@@ -228,6 +228,14 @@ def causal_median(spark: SparkSession, d: str) -> DataFrame:
     return Q.rolling_median(_trail(spark, d), ["vid"], ORDER, "x", 2, causal=True).select("vid", "event_id", "med")
 
 
+@query(f"""with {V.TRAIL}, gaps as (select *, coalesce(t - lag(t) over (partition by vid order by t, event_id) > {6 * V.HOUR}, false) as new from trail),
+parts as (select *, sum(cast(new as integer)) over (partition by vid order by t, event_id rows unbounded preceding) as part from gaps),
+around as (select vid, event_id, list_sort(list(x) over (partition by vid, part order by t, event_id rows between 2 preceding and current row)) as s from parts)
+select vid, event_id, s[len(s) // 2 + 1] as med from around""")
+def causal_median_forgetting(spark: SparkSession, d: str) -> DataFrame:
+    return Q.causal_median(_trail(spark, d), ["vid"], "t", ["event_id"], "x", 2, 6 * V.HOUR).select("vid", "event_id", "med")
+
+
 @query(f"""with recursive {V.TRAIL}, numbered as (select *, row_number() over (partition by vid order by t, event_id) as k from trail), walk as (
   select vid, k, event_id, x as sx, y as sy from numbered where k = 1
   union all

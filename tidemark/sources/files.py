@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import relabel
 from tidemark.sources import schemas as S
 
 
@@ -17,6 +20,16 @@ def read_csv(spark: SparkSession, path: str, schema: str, drop_short: bool = Fal
     return S.with_defaults(raw, schema)
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value): a file's lines as they are, for a summary that is passed on as text."""
+    return spark.read.text(path)
+
+
+def row_count(spark: SparkSession, path: str) -> int:
+    """Rows of CSV files with a header each: fields with line breaks count once."""
+    return spark.read.option("header", True).option("multiLine", True).csv(path).count()
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """The event log with ``seq``, the rows' order: by file and place within it."""
     raw = spark.read.option("header", True).option("emptyValue", "").option("nullValue", "\u0000").csv(path)
@@ -113,6 +126,29 @@ def write_text(df: DataFrame, path: str) -> None:
     df.write.text(path)
 
 
+def rewrite_ids(tracks: DataFrame, objects: DataFrame, mapping: DataFrame, path: str) -> None:
+    """Tracks and their objects under new ids (old_id, new_id), as CSV in new folders below ``path``; never over the input."""
+    write_csv(relabel(tracks, mapping, "track_id"), f"{path}/tracks")
+    write_csv(relabel(objects, mapping, "person_id"), f"{path}/objects")
+
+
+def cached(spark: SparkSession, source: str, folder: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` makes of the file ``source``, as a table kept in ``folder`` by the file's name, size and time.
+
+    A changed file has another key, so an old table is never taken for it. A table counts once its
+    write has ended; what a broken write left is written anew.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(source)
+    found = at.getFileSystem(conf).getFileStatus(at)
+    stem = at.getName().rsplit(".", 1)[0]
+    path = f"{folder.rstrip('/')}/{stem}-{found.getLen()}-{found.getModificationTime()}"
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(conf).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 # -- catalogues ------------------------------------------------------------
 
 

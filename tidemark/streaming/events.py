@@ -1,6 +1,6 @@
 """Streams of events and rows: sources, sessions, windows, throttling, logs and polling.
 
-Spark drops what is later than the watermark; the readers here take rate limits, so nothing is shed.
+Spark drops what is later than the watermark; the readers here take rate limits, so nothing is shed unless ``latest_only`` is asked to.
 """
 
 from __future__ import annotations
@@ -66,6 +66,17 @@ def throttle(df: DataFrame, key: str, t: str, interval: float) -> DataFrame:
     return df.groupBy(key).applyInPandasWithState(run, df.schema, "last double", "append", GroupStateTimeout.NoTimeout)
 
 
+def latest_only(batch: DataFrame, keys: list[str], t: str) -> DataFrame:
+    """Load shedding: of each key the rows of its newest instant, with the rows seen; ``shed`` of them are passed over.
+
+    For a batch of a stream that has to keep up; a lossless reader leaves it out. Rows without ``t`` are shed.
+    """
+    newest = batch.groupBy(*keys).agg(F.max(t).alias(t), F.count("*").alias("__seen"))
+    kept = batch.groupBy(*keys, t).agg(F.count("*").alias("__kept"))
+    told = newest.join(kept, [*keys, t]).select(*keys, t, F.col("__seen").alias("seen"), (F.col("__seen") - F.col("__kept")).alias("shed"))
+    return batch.join(told, [*keys, t])
+
+
 def append_log(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """An append-only JSONL log, exactly once."""
     return df.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
