@@ -42,20 +42,27 @@ class Scratch:
     """Written tables that are removed together once nothing reads them any more."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self._spark, self._paths = spark, []
+        self._spark, self._paths = spark, []  # (name, path)
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch(self._spark, name)
-        self._paths.append(path)
+        self._paths.append((name, path))
         df.write.option("compression", "zstd").parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
-    def remove(self) -> None:
+    def remove(self, *names: str) -> None:
+        """Remove the tables of these names, or all of them.
+
+        Shuffle files of ended jobs stay on the executors until the driver's collector meets their
+        handles, which an idle heap can put off for long; so it is asked to look now.
+        """
         jvm, conf = self._spark._jvm, self._spark._jsc.hadoopConfiguration()
-        for p in self._paths:
-            at = jvm.org.apache.hadoop.fs.Path(p)
-            at.getFileSystem(conf).delete(at, True)
-        self._paths = []
+        for name, p in self._paths:
+            if not names or name in names:
+                at = jvm.org.apache.hadoop.fs.Path(p)
+                at.getFileSystem(conf).delete(at, True)
+        self._paths = [x for x in self._paths if names and x[0] not in names]
+        jvm.java.lang.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

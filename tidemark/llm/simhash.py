@@ -377,10 +377,12 @@ def similar_groups(documents: DataFrame, limit: int = 2) -> DataFrame:
 
     shared = live(keyed.withColumn("n", F.lit(0)))
     members = tmp.written(keyed.join(shared, "key", "left_semi").select("key", "doc_id"), "members")
+    tmp.remove("keys", "live")
     known = tmp.written(members.select("doc_id").distinct(), "known")
     sets = tmp.written(texts.join(known, "doc_id").select("doc_id", "text").mapInArrow(_shingle_sets, "doc_id long, shingles binary"), "sets")
     own = groups.join(sets.select("doc_id", (F.length("shingles") / 8).cast("int").alias("n")), "doc_id").select("doc_id", "root", "n")
     own, tested, lower, hubs = tmp.written(own, "own"), None, None, True
+    tmp.remove("known")
     named = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"{x}_set"))
     rooted = lambda x: own.select(F.col("doc_id").alias(x), F.col("root").alias(f"{x}_root"))
     alike = lambda m, n: F.least(m, n) >= SIMILAR * F.greatest(m, n)
@@ -418,6 +420,7 @@ def similar_groups(documents: DataFrame, limit: int = 2) -> DataFrame:
                 fresh = moved.join(lower.select(F.col("group").alias("root")), "root", "left_anti").select(F.col("root").alias("group"), F.col("to").alias("root"))
                 lower = again.unionByName(fresh)
             lower = tmp.written(lower, "lower")
+        tmp.remove("live", "near", "edges")
         if not hubs:
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
