@@ -1,3 +1,5 @@
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -38,6 +40,25 @@ def test_stitching_finds_who_came_back():
     assert len([e for e in out if e[0] == "row"]) == len(rows)
 
 
+def test_an_end_is_worked_out_once(monkeypatch):
+    """200 people leave, others come and go: what an end tells is not asked again for each newcomer."""
+    calls, own = [], N.Track.end
+    monkeypatch.setattr(N.Track, "end", lambda self: calls.append(1) or own(self))
+    rows = [("a", 0.001 * k, k, 1000.0 * k, 0.0, 120.0, [1.0]) for k in range(200)]
+    rows += [("a", 1.0 + 0.03 * k, 1000 + k, -1e6 - 1000.0 * k, 0.0, 120.0, [1.0]) for k in range(200)]
+    out = N.stitch_rows(pd.DataFrame(rows, columns=["camera", "t", "raw_id", "x", "y", "h", "look"]), N.OnlineStitcher(), flush=True)
+    assert len(out) == 400 and len(calls) <= 400
+
+
+def test_a_state_read_back_goes_on_alike():
+    rows = pd.DataFrame([r for r in detections() if r[0] == "a"], columns=["camera", "t", "raw_id", "x", "y", "h", "look"]).sort_values("t", kind="stable")
+    s, out = N.OnlineStitcher(), []
+    for _, own in rows.groupby("t"):
+        s = pickle.loads(pickle.dumps(s))
+        out += N.stitch_rows(own, s)
+    assert out == N.stitch_rows(rows, N.OnlineStitcher()) and len(out) > 50
+
+
 def test_stream_and_batch_agree(spark, tmp_path):
     rows = sorted(detections(), key=lambda r: r[1])
     whole = spark.createDataFrame(rows, SCHEMA)
