@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.operators import sequence as Q
@@ -78,3 +79,23 @@ def test_tail_velocity_needs_two_instants(spark):
     t = trail(spark, [(1, 0.0, 0.0, 0.0), (1, 5.0, 1.0, 1.0), (1, 6.0, 3.0, 1.0), (2, 1.0, 4.0, 4.0)])
     got = {r.vid: (r.vx, r.vy) for r in Q.tail_velocity(t, ["vid"], "t", "x", "y", 1.5).collect()}
     assert got == {1: (2.0, 0.0), 2: (0.0, 0.0)}
+
+
+def test_evidence_of_pairs_against_a_join_of_steps(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(v % 2, v, int(k), None if rng.uniform() < 0.1 else round(float(rng.uniform(0, 60)), 3)) for v in range(30) for k in range(int(rng.integers(0, 8)), int(rng.integers(8, 14)))]
+    rows += [(0, 98, 500, 1.0), (0, 99, 500, None), (1, 97, 900, 2.0)]
+    df = spark.createDataFrame(rows, "lane int, vid long, i long, x double").localCheckpoint()
+    side = lambda s: df.select("lane", "i", F.col("vid").alias(s), F.col("x").alias(f"{s}_x"))
+    d = F.abs(F.col("a_x") - F.col("b_x"))
+    want = side("a").join(side("b"), ["lane", "i"]).where("a < b").groupBy("a", "b").agg(
+        F.count("*").alias("steps"), F.round(F.percentile(d, 0.5), 4).alias("d"), F.round(F.avg((d <= 30).cast("int")), 6).alias("close")).localCheckpoint()
+    for block, steps in ((1000, 500_000), (4, 40)):  # one block a lane, or several in small pieces
+        monkeypatch.setattr(Q, "SERIES_A_BLOCK", block)
+        monkeypatch.setattr(Q, "STEPS_AT_ONCE", steps)
+        got = Q.pair_evidence(df, "lane", "vid", "i", "x", 30.0).localCheckpoint()
+        assert got.exceptAll(want).count() == 0 and got.count() == want.count() > 200
+
+
+def test_rounding_half_up():
+    assert Q.half_up(np.array([0.00005, 2.34565, 1.000049999, 7.5, 0.1]), 4).tolist() == [0.0001, 2.3457, 1.0, 7.5, 0.1]

@@ -7,14 +7,21 @@ task's sort, which spills, but never has to be one row.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Cols = list[str]
 
+#: How many series of a lane are compared with as many others by one task, and how many steps of pairs at once.
+SERIES_A_BLOCK, STEPS_AT_ONCE = 1000, 500_000
+
 
 def _w(keys: Cols, order: Cols):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -151,6 +158,62 @@ def resample(df: DataFrame, keys: Cols, t: str, values: Cols, step) -> DataFrame
     return grid.select(*keys, "i", *[lerp(c) for c in values])
 
 
+def pair_evidence(df: DataFrame, lane: str, key: str, i: str, x: str, within: float, digits: tuple[int, int] = (4, 6)) -> DataFrame:
+    """(a, b, steps, d, close) of any two series of a lane that share grid steps, a < b: how many steps, the median
+    difference and the share within ``within``, rounded half up to ``digits``. A step without a value counts as shared only.
+
+    Series, not steps, are dealt out: a row each, once for every block of its lane. A task holds two blocks and
+    compares whole series, so no pair of steps is ever a row, and no pair is shuffled.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    series = df.groupBy(lane, key).agg(F.array_sort(F.collect_list(F.struct(F.col(i).alias("i"), F.col(x).alias("x")))).alias("s"))
+    sizes = series.groupBy(lane).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / SERIES_A_BLOCK)).cast("int").alias("blocks"))
+    placed = series.join(sizes, lane).withColumn("own", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
+    dealt = placed.select(lane, key, F.col("s.i").alias("i"), F.col("s.x").alias("x"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        t = t.take(pc.sort_indices(t, [("own", "ascending"), (key, "ascending")])).combine_chunks()
+        ids, own, lists = t[key].to_numpy(), t["own"].to_numpy(), t["i"].combine_chunks()
+        steps, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        row = np.repeat(np.arange(len(t)), np.diff(lists.offsets.to_numpy()))
+        grid, there = np.full((len(t), len(steps)), np.nan), np.zeros((len(t), len(steps)), np.float32)
+        grid[row, place] = t["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        there[row, place] = 1.0
+        one = t["lo"][0].as_py() == t["hi"][0].as_py()
+        first = 0 if one else int(np.searchsorted(own, own[0], "right"))  # where the second block begins
+        for k in range(0, len(t) if one else first, each := max(1, STEPS_AT_ONCE // max(1, len(t) * len(steps)))):
+            stop = min(k + each, len(t) if one else first)
+            begin = k if one else first
+            n = np.rint(there[k:stop] @ there[begin:].T).astype(np.int64)
+            if one:
+                n = np.triu(n, 1)
+            a, b = np.nonzero(n)
+            n, a, b = n[a, b], a + k, b + begin
+            apart = np.abs(grid[a] - grid[b])
+            seen = (~np.isnan(apart)).sum(axis=1)
+            close = (apart <= within).sum(axis=1) / np.maximum(seen, 1)
+            apart.sort(axis=1)  # what is missing goes last
+            every = np.arange(len(a))
+            d = 0.5 * apart[every, np.maximum(seen - 1, 0) // 2] + 0.5 * apart[every, np.minimum(seen // 2, len(steps) - 1)]
+            none = seen == 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b])), pa.array(n),
+                 pa.array(half_up(d, digits[0]), mask=none), pa.array(half_up(close, digits[1]), mask=none)], names=["a", "b", "steps", "d", "close"])
+
+    return dealt.groupBy(lane, "lo", "hi").applyInArrow(compare, f"a {kinds[key]}, b {kinds[key]}, steps long, d double, close double")
+
+
+def half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded as Spark rounds: half up, by the shortest decimals of each number. Not for negative ones."""
+    scaled = x * 10.0**digits
+    out = np.floor(scaled + 0.5) / 10.0**digits
+    for k in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6 + 1e-15 * scaled):
+        out[k] = float(Decimal(repr(float(x[k]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+    return out
+
+
 def occupancy(intervals: DataFrame, start: str, end: str, lo, hi, step) -> DataFrame:
     """(i, n): on each grid step from ``lo`` to ``hi`` how many intervals touch it, empty steps too."""
     n = max(1, int((hi - lo) / step) + 1)

@@ -68,10 +68,7 @@ grid as (select g.vid, i, s.x + coalesce((nx - s.x) * (i * {24 * HOUR} - s.t) /
 from grid a join grid b on a.i = b.i and a.vid < b.vid and a.vid % 10 = b.vid % 10 group by all""")
 def pair_evidence(spark: SparkSession, d: str) -> DataFrame:
     g = Q.resample(V.trail(spark, d), ["vid"], "t", ["x"], 24 * HOUR).withColumn("lane", F.col("vid") % 10)
-    side = lambda s: g.select("lane", "i", F.col("vid").alias(f"{s}_vid"), F.col("x").alias(f"{s}_x"))
-    d_ = F.abs(F.col("a_x") - F.col("b_x"))
-    return side("a").join(side("b"), ["lane", "i"]).where("a_vid < b_vid").groupBy("a_vid", "b_vid").agg(
-        F.count("*").alias("steps"), F.round(F.percentile(d_, 0.5), 4).alias("d"), F.round(F.avg((d_ <= 30).cast("int")), 6).alias("close"))
+    return Q.pair_evidence(g, "lane", "vid", "i", "x", 30.0).withColumnsRenamed({"a": "a_vid", "b": "b_vid"})
 
 
 @query(f"""with {_GRID}, p as (select vid % 20 as visitor_id, vid % 2 as cam, vid, i, x, greatest(0.02 * (vid % 7), 0.05) as w from grid)
