@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HELD_OUT_MOD, HELD_OUT_REST = 4, 2
+MARK_BITS = 24
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,6 +70,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_mark(df: DataFrame, column: str, ids: DataFrame, mark: str = "__in") -> DataFrame:
+    """``df`` with a boolean column ``mark``: false only where ``column`` is not among ``ids`` (one column of whole numbers).
+
+    True may be wrong, so an exact join follows; what is false need not be moved for it. The ids are
+    sent as 2**MARK_BITS bits in words of 64, whatever their number.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << MARK_BITS))
+    bit = slot(ids.columns[0]).alias("slot")
+    words = ids.select(bit).groupBy(F.shiftright("slot", 6).alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("__bits"))
+    found = df.withColumn("__slot", slot(column)).withColumn("__word", F.shiftright("__slot", 6)).join(F.broadcast(words), "__word", "left")
+    hit = F.coalesce(F.expr("shiftright(__bits, cast(__slot & 63 as int)) & 1L") == 1, F.lit(False))
+    return found.withColumn(mark, hit).select(*[F.col(f"`{c}`") for c in df.columns], mark)
+
+
+def among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is among ``ids``, and a few others, without moving any row."""
+    return with_mark(df, column, ids).where("__in").drop("__in")
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows no label may be learned from: crc32 of the id as text, mod 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT_MOD == HELD_OUT_REST, F.lit(False))

@@ -224,8 +224,11 @@ def score(documents: DataFrame, labels: DataFrame, **params) -> DataFrame:
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """The rows of ``documents`` that stay, with their columns and no others; each text is counted once."""
+    """The rows of ``documents`` that stay, with their columns and no others.
+
+    Each text is counted twice, for the cutoffs and for the verdict, so that no copy of the texts is written.
+    """
     columns = [F.col(f"`{c}`") for c in documents.columns]
-    counted = written(documents.select(F.struct(*columns).alias("row"), counts_udf("text").alias("f")), "counted")
-    found = cutoffs(counted.select("row.doc_id", "row.lang", "f.*"), labels, **params)
+    counted = documents.select(F.struct(*columns).alias("row"), counts_udf("text").alias("f"))
+    found = cutoffs(documents.select("doc_id", "lang", counts_udf("text").alias("f")).select("doc_id", "lang", "f.*"), labels, **params)
     return counted.where(verdict(lambda c: F.col(f"f.{c}"), F.col("row.lang"), found)).select("row.*")

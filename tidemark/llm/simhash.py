@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidemark.llm.common import Scratch, written
+from tidemark.llm.common import Scratch, among, with_mark, written
 from tidemark.llm.components import connected_components
 from tidemark.llm.encoding import chunks
 from tidemark.llm.suffixes import word_hashes
@@ -375,15 +375,16 @@ def similar_groups(documents: DataFrame, limit: int = 2) -> DataFrame:
         ends = keyed.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.min(F.struct("doc_id", "root", "n")).alias("hub"))
         return tmp.written(ends.where("first <> last").select("key", "hub"), "live")
 
-    shared = live(keyed.withColumn("n", F.lit(0)))
-    members = tmp.written(keyed.join(shared, "key", "left_semi").select("key", "doc_id"), "members")
+    ends = keyed.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"))
+    shared = tmp.written(ends.where("first <> last").select("key"), "live")
+    members = tmp.written(among(keyed, "key", shared).join(shared, "key", "left_semi").select("key", "doc_id"), "members")
     tmp.remove("keys", "live")
     known = tmp.written(members.select("doc_id").distinct(), "known")
-    sets = tmp.written(texts.join(known, "doc_id").select("doc_id", "text").mapInArrow(_shingle_sets, "doc_id long, shingles binary"), "sets")
+    sets = tmp.written(among(texts, "doc_id", known).join(known, "doc_id").select("doc_id", "text").mapInArrow(_shingle_sets, "doc_id long, shingles binary"), "sets")
     own = groups.join(sets.select("doc_id", (F.length("shingles") / 8).cast("int").alias("n")), "doc_id").select("doc_id", "root", "n")
     own, tested, lower, hubs = tmp.written(own, "own"), None, None, True
     tmp.remove("known")
-    named = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"{x}_set"))
+    named = lambda x, pairs: among(sets, "doc_id", pairs.select(x)).select(F.col("doc_id").alias(x), F.col("shingles").alias(f"{x}_set"))
     rooted = lambda x: own.select(F.col("doc_id").alias(x), F.col("root").alias(f"{x}_root"))
     alike = lambda m, n: F.least(m, n) >= SIMILAR * F.greatest(m, n)
     while True:
@@ -393,8 +394,8 @@ def similar_groups(documents: DataFrame, limit: int = 2) -> DataFrame:
             each = keyed.join(ends, "key").where((F.col("hub.root") != F.col("root")) & alike(F.col("n"), F.col("hub.n")))
             pairs = each.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
         else:
-            left_over = keyed.join(ends, "key", "left_semi").select("doc_id", "root", "n").distinct()
-            rare = tmp.written(_rarest(left_over.join(sets, "doc_id").select("doc_id", "root", "n", "shingles"), tmp), "rare")
+            left_over = tmp.written(keyed.join(ends, "key", "left_semi").select("doc_id", "root", "n").distinct(), "left_over")
+            rare = tmp.written(_rarest(left_over.join(among(sets, "doc_id", left_over.select("doc_id")), "doc_id").select("doc_id", "root", "n", "shingles"), tmp), "rare")
             side = lambda x: rare.select(*[F.col(c).alias(f"{x}_{c}") for c in ("shingle", "doc_id", "root", "n", "place")])
             apart = (F.col("a_root") != F.col("b_root")) & (F.col("a_doc_id") < F.col("b_doc_id")) & alike(F.col("a_n"), F.col("b_n"))
             # from the first shingle they share on, enough must be left on both sides
@@ -406,7 +407,7 @@ def similar_groups(documents: DataFrame, limit: int = 2) -> DataFrame:
         if hubs:
             pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         pairs = tmp.written(pairs, "pairs")
-        near = tmp.written(pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(_similar, "a long, b long"), "near")
+        near = tmp.written(pairs.join(named("a", pairs), "a").join(named("b", pairs), "b").select("a", "b", "a_set", "b_set").mapInArrow(_similar, "a long, b long"), "near")
         edges = tmp.written(near.join(rooted("a"), "a").join(rooted("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "edges")
         joins = edges.limit(1).count() > 0
         if joins:
@@ -447,4 +448,6 @@ def keep_one(documents: DataFrame, limit: int = 2) -> DataFrame:
         chosen = twice.join(best, (F.col("doc_id") == F.col("own_id")) & (tie == F.col("own_tie"))).select(*documents.columns).dropDuplicates(["doc_id"])
         single = written(documents.join(again, "doc_id", "left_anti").select(*documents.columns).unionByName(chosen), "single")
     gone = similar_groups(single, limit).where("doc_id <> root").select("doc_id")
-    return single.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    marked = with_mark(single, "doc_id", gone)  # texts that stay for sure are not moved
+    doubtful = marked.where("__in").join(gone, "doc_id", "left_anti")
+    return marked.where("not __in").select(*documents.columns).unionByName(doubtful.select(*documents.columns))
