@@ -1,13 +1,14 @@
 """What the pipeline's stages write and move beside their result: no copies of the texts."""
 
 import random
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.cases import labels
-from tidemark.llm import common, quality_rules, simhash
+from tidemark.llm import common, simhash
 
 TEXT = "doc_id long, text string, lang string"
 
@@ -60,10 +61,22 @@ def test_near_dedup_moves_no_texts_that_stay(unsent):
     assert moved(unsent) - before < 1_500_000  # the texts have 4.5 MB
 
 
-def test_quality_rules_write_no_copy_of_the_texts(spark):
-    docs = spark.createDataFrame([(k, prose(k, 1000), "en") for k in range(200)], TEXT)
-    folder = Path(common.shared_dir(spark).removeprefix("file://"))
-    size = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
-    before = size()
-    assert quality_rules.keep_good(docs, labels(spark)).count() == 200
-    assert size() - before < 100_000  # the texts have 2.2 MB
+_WORKER = """
+import random, re, sys
+import pyarrow as pa
+from tidemark.llm import simhash
+anon = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) // 1024
+r = random.Random(1)
+text = " ".join(f"{r.getrandbits(40):010x}" for _ in range(2000))
+batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([text] * 2000)], names=["doc_id", "text"])
+before = anon()
+rows = sum(x.num_rows for x in simhash._band_keys(iter([batch])))
+print(rows, anon() - before)
+"""
+
+
+@pytest.mark.skipif(not Path("/proc/self/status").exists(), reason="reads /proc")
+def test_a_worker_keeps_no_memory_of_a_batch():
+    got = subprocess.run([sys.executable, "-c", _WORKER], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    rows, mb = map(int, got.stdout.split())
+    assert rows == 2000 and mb < 20  # the batch has 44 MB

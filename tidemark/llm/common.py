@@ -6,14 +6,19 @@ Everything that must outlive one job goes to the folder the cluster names in
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HELD_OUT_MOD, HELD_OUT_REST = 4, 2
 MARK_BITS = 24
+TEXT_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,10 +37,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table written in the shared folder: cuts lineage and survives lost executors."""
+@contextmanager
+def _batches(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Jobs run inside hand Python at most ``rows`` rows at once, or what the session says; the setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = int(spark.conf.get(key))
+    if rows is None or 0 < old <= rows:
+        yield
+        return
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, str(old))
+
+
+def written(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """``df`` as a table written in the shared folder: cuts lineage and survives lost executors.
+
+    ``batch``: rows that Python gets at once at most; TEXT_ROWS where whole texts are handed over, as
+    workers and executors each hold a batch or two.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with _batches(df.sparkSession, batch):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -45,10 +70,11 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self._spark, self._paths = spark, []  # (name, path)
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
+    def written(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
         path = scratch(self._spark, name)
         self._paths.append((name, path))
-        df.write.option("compression", "zstd").parquet(path)
+        with _batches(self._spark, batch):
+            df.write.option("compression", "zstd").parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
     def remove(self, *names: str) -> None:
@@ -66,6 +92,13 @@ class Scratch:
         jvm.java.lang.System.gc()
 
 
+def release() -> None:
+    """Give this Python worker's free memory back to the system, after each batch; else the allocators keep it while other stages run."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

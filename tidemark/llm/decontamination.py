@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from tidemark.llm.common import written
+from tidemark.llm.common import TEXT_ROWS, release, written
 from tidemark.llm.encoding import chunks
 
 WINDOW, COVER, LITERALS = 8, 0.6, 4
@@ -210,7 +210,9 @@ def _search(sent: Broadcast, names: list[str]):
 def _clean(sent: Broadcast):
     def clean(text: pd.Series) -> pd.Series:
         texts = [x or "" for x in text]
-        return pd.Series([not own for a, b in chunks(texts) for own in sent.value.leaks(texts[a:b])], dtype=bool)
+        out = pd.Series([not own for a, b in chunks(texts) for own in sent.value.leaks(texts[a:b])], dtype=bool)
+        release()
+        return out
 
     return F.pandas_udf(clean, BooleanType())
 
@@ -241,6 +243,6 @@ def drop_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     for index in blocks(benchmark, window, cover, block):
         sent = spark.sparkContext.broadcast(index)
         marked = clean.select(F.struct(*columns).alias("row")).where(_clean(sent)(F.col("row.text")))
-        clean = written(marked.select("row.*"), "clean")  # so one block is out at a time
+        clean = written(marked.select("row.*"), "clean", TEXT_ROWS)  # so one block is out at a time
         sent.destroy()
     return clean

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import written
+from tidemark.llm.common import TEXT_ROWS, release, written
 from tidemark.llm.encoding import chunks, encoder
 
 END_ID, CAPACITY = 1, 4096
@@ -97,7 +97,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_i
         task, ranks, enc = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), encoder(tokenizer)
         for batch in batches:
             doc_ids, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, 3_000_000):
                 ids, counts = enc.encode(texts[a:b])
                 ends = np.cumsum(counts + 1)
                 out = np.full(int(ends[-1]), end_id, "<u4")
@@ -126,11 +126,12 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_i
                 if keep_ids:
                     cols.append(pa.array([bytes(raw[4 * x : 4 * (x + y)]) for x, y in zip(at.tolist(), length.tolist())], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+            release()
 
     schema = _PIECES + (", ids binary" if keep_ids else "")
     names = [x.split()[0] for x in schema.split(", ")]
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(rows.mapInArrow(cut, schema), "pieces")
+    return written(rows.mapInArrow(cut, schema), "pieces", TEXT_ROWS)
 
 
 def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:

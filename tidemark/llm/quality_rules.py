@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import written
+from tidemark.llm.common import TEXT_ROWS, release, written
 
 SPACES, SYMBOLS, CAPITALS = b" \t\n\r\x0b\x0c", b"#*$%&|<>", bytes(range(65, 91))
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 8, 20, 30
@@ -72,7 +72,9 @@ def counts(text: str | None) -> tuple[int, ...]:
 
 @F.pandas_udf(StructType([StructField(x, LongType()) for x in BASE + EXTRA]))
 def counts_udf(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame(np.array([counts(x) for x in text], np.int64).reshape(-1, len(BASE + EXTRA)), columns=[*BASE, *EXTRA])
+    out = pd.DataFrame(np.array([counts(x) for x in text], np.int64).reshape(-1, len(BASE + EXTRA)), columns=[*BASE, *EXTRA])
+    release()
+    return out
 
 
 def base_failed(f) -> Column:
@@ -224,11 +226,8 @@ def score(documents: DataFrame, labels: DataFrame, **params) -> DataFrame:
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """The rows of ``documents`` that stay, with their columns and no others.
-
-    Each text is counted twice, for the cutoffs and for the verdict, so that no copy of the texts is written.
-    """
+    """The rows of ``documents`` that stay, with their columns and no others; each text is counted once."""
     columns = [F.col(f"`{c}`") for c in documents.columns]
-    counted = documents.select(F.struct(*columns).alias("row"), counts_udf("text").alias("f"))
-    found = cutoffs(documents.select("doc_id", "lang", counts_udf("text").alias("f")).select("doc_id", "lang", "f.*"), labels, **params)
+    counted = written(documents.select(F.struct(*columns).alias("row"), counts_udf("text").alias("f")), "counted", TEXT_ROWS)
+    found = cutoffs(counted.select("row.doc_id", "row.lang", "f.*"), labels, **params)
     return counted.where(verdict(lambda c: F.col(f"f.{c}"), F.col("row.lang"), found)).select("row.*")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidemark.llm.common import Scratch, among, with_mark, written
+from tidemark.llm.common import TEXT_ROWS, Scratch, among, release, with_mark, written
 from tidemark.llm.components import connected_components
 from tidemark.llm.encoding import chunks
 from tidemark.llm.suffixes import word_hashes
@@ -63,7 +63,9 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 @F.pandas_udf(LongType())
 def fingerprint_udf(text: pd.Series) -> pd.Series:
-    return pd.Series(np.fromiter(map(fingerprint, text), np.uint64, len(text)).view(np.int64))
+    out = pd.Series(np.fromiter(map(fingerprint, text), np.uint64, len(text)).view(np.int64))
+    release()
+    return out
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -234,7 +236,7 @@ def near_duplicates(documents: DataFrame, limit: int = 2) -> DataFrame:
     often as they came. A row without doc_id has a fingerprint but no component and links nothing.
     Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
-    marked = written(documents.select("doc_id", fingerprint_udf("text").alias("fp")), "fingerprints")
+    marked = written(documents.select("doc_id", fingerprint_udf("text").alias("fp")), "fingerprints", TEXT_ROWS)
     fps = written(
         marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct"
     )
@@ -287,6 +289,7 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys[:, j] ^= keys[:, j] >> np.uint64(31)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(own + a)), flat], names=["doc_id", "keys"])
+        release()
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,6 +300,7 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             h, starts = _shingles(texts[a:b])
             sets = [np.unique(h[x:y]).tobytes() for x, y in zip(starts[:-1], starts[1:])]
             yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+        release()
 
 
 def _bucket(shingles: np.ndarray) -> np.ndarray:
@@ -317,7 +321,7 @@ def _rarest(texts: DataFrame, tmp: Scratch) -> DataFrame:
         k = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n[k])], names=["bucket", "n"])
 
-    counted = tmp.written(texts.select("shingles").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "buckets")
+    counted = tmp.written(texts.select("shingles").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "buckets", TEXT_ROWS)
     table = np.zeros(1 << BUCKET_BITS, np.int64)
     got = counted.toArrow()  # 2**BUCKET_BITS rows at most, whatever the corpus holds
     table[got["bucket"].to_numpy()] = got["n"].to_numpy()
@@ -335,6 +339,7 @@ def _rarest(texts: DataFrame, tmp: Scratch) -> DataFrame:
             at = np.concatenate([np.arange(len(x)) for x in found]) if found else np.zeros(0, np.int64)
             cols = [pa.array(flat.view(np.int64)), *[batch.column(k).take(rows) for k in range(3)], pa.array(at.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, names=["shingle", "doc_id", "root", "n", "place"])
+            release()
 
     return texts.mapInArrow(pick, "shingle long, doc_id long, root long, n int, place int")
 
@@ -349,6 +354,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep[k] = both >= SIMILAR * (len(x) + len(y) - both)
         yield batch.select(["a", "b"]).filter(pa.array(keep))
+        release()
 
 
 def similar_groups(documents: DataFrame, limit: int = 2) -> DataFrame:
@@ -368,7 +374,7 @@ def similar_groups(documents: DataFrame, limit: int = 2) -> DataFrame:
     banded = texts.mapInArrow(_band_keys, "doc_id long, keys array<long>").join(groups, "doc_id")
     # copies of one text have the same keys: the smallest id of each group stands for them
     folded = banded.groupBy("root", "keys").agg(F.min("doc_id").alias("doc_id"))
-    keyed = tmp.written(folded.select("doc_id", "root", F.explode("keys").alias("key")), "keys")
+    keyed = tmp.written(folded.select("doc_id", "root", F.explode("keys").alias("key")), "keys", TEXT_ROWS)
 
     def live(keyed: DataFrame) -> DataFrame:
         """Keys whose members are in different groups, with their smallest member."""
@@ -380,7 +386,7 @@ def similar_groups(documents: DataFrame, limit: int = 2) -> DataFrame:
     members = tmp.written(among(keyed, "key", shared).join(shared, "key", "left_semi").select("key", "doc_id"), "members")
     tmp.remove("keys", "live")
     known = tmp.written(members.select("doc_id").distinct(), "known")
-    sets = tmp.written(among(texts, "doc_id", known).join(known, "doc_id").select("doc_id", "text").mapInArrow(_shingle_sets, "doc_id long, shingles binary"), "sets")
+    sets = tmp.written(among(texts, "doc_id", known).join(known, "doc_id").select("doc_id", "text").mapInArrow(_shingle_sets, "doc_id long, shingles binary"), "sets", TEXT_ROWS)
     own = groups.join(sets.select("doc_id", (F.length("shingles") / 8).cast("int").alias("n")), "doc_id").select("doc_id", "root", "n")
     own, tested, lower, hubs = tmp.written(own, "own"), None, None, True
     tmp.remove("known")
@@ -395,7 +401,7 @@ def similar_groups(documents: DataFrame, limit: int = 2) -> DataFrame:
             pairs = each.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
         else:
             left_over = tmp.written(keyed.join(ends, "key", "left_semi").select("doc_id", "root", "n").distinct(), "left_over")
-            rare = tmp.written(_rarest(left_over.join(among(sets, "doc_id", left_over.select("doc_id")), "doc_id").select("doc_id", "root", "n", "shingles"), tmp), "rare")
+            rare = tmp.written(_rarest(left_over.join(among(sets, "doc_id", left_over.select("doc_id")), "doc_id").select("doc_id", "root", "n", "shingles"), tmp), "rare", TEXT_ROWS)
             side = lambda x: rare.select(*[F.col(c).alias(f"{x}_{c}") for c in ("shingle", "doc_id", "root", "n", "place")])
             apart = (F.col("a_root") != F.col("b_root")) & (F.col("a_doc_id") < F.col("b_doc_id")) & alike(F.col("a_n"), F.col("b_n"))
             # from the first shingle they share on, enough must be left on both sides
@@ -407,7 +413,7 @@ def similar_groups(documents: DataFrame, limit: int = 2) -> DataFrame:
         if hubs:
             pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         pairs = tmp.written(pairs, "pairs")
-        near = tmp.written(pairs.join(named("a", pairs), "a").join(named("b", pairs), "b").select("a", "b", "a_set", "b_set").mapInArrow(_similar, "a long, b long"), "near")
+        near = tmp.written(pairs.join(named("a", pairs), "a").join(named("b", pairs), "b").select("a", "b", "a_set", "b_set").mapInArrow(_similar, "a long, b long"), "near", TEXT_ROWS)
         edges = tmp.written(near.join(rooted("a"), "a").join(rooted("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "edges")
         joins = edges.limit(1).count() > 0
         if joins:
