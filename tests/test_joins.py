@@ -34,3 +34,14 @@ def test_overlap_pairs_of_copies_take_few_bytes_and_lose_none(spark, tmp_path):
     assert found == con.sql(whole.format(entry.oracle_sql()["interval_overlap_pairs"])).fetchall()
     size = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
     assert found[0][0] > 300_000 and size < 0.8 * found[0][0], size / found[0][0]
+
+
+def test_overlap_pairs_of_any_two_visitors(spark, tmp_path):
+    """Not only of visitors whose ids leave the same remainder."""
+    con = duckdb.connect()
+    con.execute(f"""copy (select u * 10 + h as event_id, timestamp '2024-01-01' + to_hours(u * 2 + h * 4) as ts, u as user_id, 'view' as event_type, 1.0 as value, '{{"k": 1}}' as props
+        from (select unnest(range(6)) as u), (select unnest(range(2)) as h)) to '{tmp_path}/events.parquet'""")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    want = [(a, 0, a + 1, 0, 2 * 3_600_000_000) for a in range(5)]
+    assert sorted(map(tuple, entry.queries()["interval_overlap_pairs"](spark, str(tmp_path)).collect())) == want
+    assert sorted(con.sql(entry.oracle_sql()["interval_overlap_pairs"]).fetchall()) == want
