@@ -50,6 +50,24 @@ def test_an_end_is_worked_out_once(monkeypatch):
     assert len(out) == 400 and len(calls) <= 400
 
 
+def test_who_comes_and_goes_alike_is_compared_once(monkeypatch):
+    """Ends and newcomers in a hundred copies and one more place: a few costs, and each newcomer takes the first end left."""
+    sizes, own = [], N.OpenEnds.costs
+
+    def costs(*a):
+        out = own(*a)
+        sizes.extend(map(np.size, out))
+        return out
+
+    monkeypatch.setattr(N.OpenEnds, "costs", costs)
+    rows = [("a", 0.0, k, 0.0 if k % 4 else 9.0, 0.0, 120.0, [1.0]) for k in range(100)]
+    rows += [("a", 1.0, 1000 + k, 1.0, 0.0, 120.0, [1.0]) for k in range(100)]
+    out = N.stitch_rows(pd.DataFrame(rows, columns=["camera", "t", "raw_id", "x", "y", "h", "look"]), N.OnlineStitcher(), flush=True)
+    order = [k for k in range(100) if k % 4] + list(range(0, 100, 4))
+    assert [e[2:4] for e in out if e[0] == "merge"] == [(1000 + k, end) for k, end in enumerate(order)]
+    assert max(sizes) <= 100
+
+
 def test_a_state_read_back_goes_on_alike():
     rows = pd.DataFrame([r for r in detections() if r[0] == "a"], columns=["camera", "t", "raw_id", "x", "y", "h", "look"]).sort_values("t", kind="stable")
     s, out = N.OnlineStitcher(), []
